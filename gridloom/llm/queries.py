@@ -5,12 +5,14 @@ from __future__ import annotations
 from gridloom.llm.chat import op10_chat
 from gridloom.llm.linededup import op1_line_dedup
 from gridloom.llm.mixing import op2_mixing
+from gridloom.llm.pieces import op6_pieces
+from gridloom.llm.pii import op3_pii
 from gridloom.llm.sharding import op5_sharding
 from gridloom.llm.sql import ORACLES
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_mixing, op5_sharding, op10_chat)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_pii, op5_sharding, op6_pieces, op10_chat)}
 
 
 def oracle_sql() -> dict:
