@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +59,14 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def worker_state(key: str, make):
+    """What ``make`` returns, once in each Python worker; it lives on from task to task, and is made again if the worker is lost."""
+    holder = sys.modules.setdefault("gridloom_worker_state", types.ModuleType("gridloom_worker_state"))
+    if key not in holder.__dict__:
+        holder.__dict__[key] = make()
+    return holder.__dict__[key]
+
+
 def free_name(df: DataFrame, want: str) -> str:
     """A column name that ``df`` doesn't have yet."""
     taken = {c.lower() for c in df.columns}
@@ -68,3 +78,21 @@ def free_name(df: DataFrame, want: str) -> str:
 def spread(*columns: Column | str, buckets: int, seed: int = 0) -> Column:
     """A bucket in [0, buckets) by a stable hash of the columns."""
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(buckets)).cast("int")
+
+
+#: At most so many keys are called hot, and at least so many rows a hot key has.
+HOT_KEYS, HOT_ROWS = 4096, 10_000
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, salts: int = 32) -> DataFrame:
+    """Inner join on ``key``, which is unique in ``right``; a hot key of ``left`` is spread over ``salts`` tasks.
+
+    ``left`` is read three times, so it should be a narrow table. The hot keys that are broadcast are HOT_KEYS at most,
+    as each has at least that share of the rows.
+    """
+    least = max(HOT_ROWS, left.count() // HOT_KEYS + 1)
+    hot = left.groupBy(key).count().where(F.col("count") >= least).select(F.col(key).alias("__hot"))
+    salt, others = free_name(left, "__salt"), [F.col(c) for c in left.columns if c != key]
+    near = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn(salt, F.when(F.col("__hot").isNull(), 0).otherwise(spread(*others, buckets=salts))).drop("__hot")
+    far = right.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn(salt, F.explode(F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1))))).drop("__hot")
+    return near.join(far, [key, salt]).drop(salt)

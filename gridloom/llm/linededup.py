@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm.common import bound_batches, spread, table, text_of, written
 
@@ -209,6 +210,9 @@ def losing_lines(rows: DataFrame, frequent: DataFrame, filters: DataFrame) -> Da
 def rewrite(documents: DataFrame, lost: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``documents`` with ``kept`` (the text without its lost lines), ``n_lines``, ``n_dropped`` and ``kept_sha256``; other columns stay."""
     bound_batches(documents.sparkSession)
+    made_names = ("kept", "n_lines", "n_dropped", "kept_sha256")
+    if clash := {c.lower() for c in documents.columns} & {*made_names, "digests"}:
+        raise ValueError(f"columns exist already: {sorted(clash)}")
     given = [c for c in documents.columns if c != "text"]
     joined = documents.select(*given, text_of().alias("text")).join(lost.select(F.col("doc_id").alias("__of"), "digests"), F.col("doc_id") == F.col("__of"), "left").select(*given, "text", "digests")
     schema = [f for f in documents.schema.fields if f.name != "text"]
@@ -229,9 +233,7 @@ def rewrite(documents: DataFrame, lost: DataFrame, min_chars: int = MIN_CHARS) -
                 shas.append(hashlib.sha256(text).hexdigest())
             columns = [batch.column(c) for c in given]
             made = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(shas, pa.string())]
-            yield pa.record_batch(columns + made, [*given, "kept", "n_lines", "n_dropped", "kept_sha256"])
-
-    from pyspark.sql import types as T
+            yield pa.record_batch(columns + made, [*given, *made_names])
 
     out = T.StructType([*schema, T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     return joined.mapInArrow(drop, out)
