@@ -5,7 +5,9 @@ finds the path of highest summed score (the earliest start wins ties) through th
 pieces. It streams: only as many positions as the longest piece has characters are
 live; whenever all live positions trace back to one boundary, the ids up to it are
 committed and forgotten. Spans between boundaries that no piece can cross (before a run
-of spaces, around line feeds) are encoded once and remembered in a bounded memo.
+of spaces, around line feeds, between Latin letters and other characters, where the
+vocabulary has no piece across) are encoded once and remembered in a bounded memo that a
+worker keeps from task to task.
 
 A character that no piece covers costs the least score of the vocabulary less 10 and becomes its UTF-8
 bytes; so does a literal U+2581, the mark that stands for a space, so that decoding
@@ -28,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import bound_batches, table, text_of
+from gridloom.llm.common import bound_batches, table, text_of, worker_state
 
 MARK = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 #: Entries of a task's memo, and the longest span that enters it.
 MEMO, MEMO_CHARS = 400_000, 64
+LATIN = "[A-Za-zÀ-ÖØ-öø-ɏ]"
 #: How often the live paths are traced back.
 TRACE_EVERY = 64
 
@@ -110,66 +113,95 @@ class Pieces:
         self.byte_ids = [byte_ids[b] for b in range(256)]
         self.longest = max(map(len, self.ids))
         self.unknown = min(self.scores) - 10.0
+        self.spans = self._sure_spans()
+        #: A trie: character -> (the next level, id, score), id -1 if it is no piece itself.
+        self.trie: dict = {}
+        for piece, i in sorted(self.ids.items()):  # prefixes first
+            level = self.trie
+            for k, c in enumerate(piece, 1):
+                node = level.get(c) or ({}, -1, 0.0)
+                level[c] = node = (node[0], i, self.scores[i]) if k == len(piece) else node
+                level = node[0]
+
+    def _sure_spans(self) -> re.Pattern:
+        """Cuts a text where no piece of this vocabulary can cross: before runs of spaces, around line feeds, between Latin letters and the rest."""
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
-            self.spans = re.compile(r"(?s).+")  # a piece may cross: no boundary is sure
-        else:
-            self.spans = re.compile(r"\n| *[^ \n]+| +")
-        self.lookup = {p: (i, self.scores[i]) for p, i in self.ids.items()}
+            return re.compile(r"(?s).+")
+        mixed = re.compile(f"{LATIN}[^{LATIN[1:]}|[^{LATIN[1:]}{LATIN}")
+        if any(mixed.search(p.lstrip(MARK)) for p in self.ids):
+            return re.compile(r"\n| *[^ \n]+| +")
+        return re.compile(rf"\n| *{LATIN}+| *[^{LATIN[1:-1]} \n]+| +")
 
     def viterbi(self, text: str) -> list[int]:
         """The ids of ``text``, in which MARK stands for a space."""
-        lookup, longest, unknown = self.lookup, self.longest, self.unknown
+        trie, longest, unknown = self.trie, self.longest, self.unknown
         out: list[int] = []
-        base = 0  # everything before is committed
-        best: dict[int, float] = {0: 0.0}
-        back: dict[int, tuple[int, int]] = {}  # end -> (start, id), -1 for a character of its own bytes
-        n = len(text)
-        for end in range(1, n + 1):
-            top, came = None, None
-            for start in range(max(base, end - longest), end):
-                found = lookup.get(text[start:end])
-                if found is None:
-                    continue
-                total = best[start] + found[1]
-                if top is None or total > top:
-                    top, came = total, (start, found[0])
-            if came is None or came[0] != end - 1:
-                single = lookup.get(text[end - 1])
-                if single is None and (top is None or best[end - 1] + unknown > top):
-                    top, came = best[end - 1] + unknown, (end - 1, -1)
-            best[end], back[end] = top, came
-            if (end - base) % TRACE_EVERY == 0 and end < n:
-                # all live positions, traced back until one boundary is left
-                live = set(range(max(base, end - longest + 1), end + 1))
-                while len(live) > 1:
+        n, base = len(text), 0  # everything before base is committed
+        # of the ends within reach, relative to base: best score, where it starts, its id (-1: a character of its own bytes)
+        best: list[float | None] = [None] * (min(n, TRACE_EVERY) + longest + 1)
+        came, ids = [0] * len(best), [0] * len(best)
+        best[0] = 0.0
+        start = 0
+        while start < n:
+            score = best[start - base]
+            at = start - base
+            if score is not None:
+                level, to = trie, at
+                for c in text[start : start + longest]:
+                    node = level.get(c)
+                    if node is None:
+                        break
+                    level, piece, gain = node
+                    to += 1
+                    if piece >= 0:
+                        total, known = score + gain, best[to]
+                        if known is None or total > known:
+                            best[to], came[to], ids[to] = total, at, piece
+                single = trie.get(text[start])
+                if single is None or single[1] < 0:
+                    total = score + unknown
+                    if best[at + 1] is None or total > best[at + 1]:
+                        best[at + 1], came[at + 1], ids[at + 1] = total, at, -1
+            start += 1
+            if start - base >= TRACE_EVERY and start < n:
+                # all live ends, traced back until one boundary is left
+                now = start - base
+                live = {k for k in range(now, min(n - base, now + longest - 1) + 1) if best[k] is not None}
+                while len(live) > 1 or max(live) > now:
                     last = max(live)
                     live.remove(last)
-                    live.add(back[last][0])
+                    live.add(came[last])
                 meet = live.pop()
-                if meet > base:
-                    out += self._path(text, back, base, meet)
+                if meet:
+                    out += self._path(text, came, ids, base, meet)
                     least = best[meet]
-                    best = {k: v - least for k, v in best.items() if k >= max(meet, end - longest)}
-                    back = {k: v for k, v in back.items() if k > meet}
-                    base = meet
-                else:
-                    best = {k: v for k, v in best.items() if k >= end - longest}
-        return out + self._path(text, back, base, n)
-
-    def _path(self, text: str, back: dict[int, tuple[int, int]], base: int, end: int) -> list[int]:
-        steps = []
-        while end > base:
-            start, piece = back[end]
-            steps.append((start, end, piece))
-            end = start
+                    best = [None if x is None else x - least for x in best[meet:]]
+                    came, ids = [x - meet for x in came[meet:]], ids[meet:]
+                    base += meet
+                room = start - base + TRACE_EVERY + longest + 1 - len(best)
+                best += [None] * room
+                came += [0] * room
+                ids += [0] * room
+        return out + self._path(text, came, ids, base, n - base)
+
+    def _path(self, text: str, came: list[int], ids: list[int], base: int, end: int) -> list[int]:
+        """The ids of the best path from ``base`` to ``end`` characters after it."""
         out: list[int] = []
-        for start, stop, piece in reversed(steps):
-            out += [piece] if piece >= 0 else [self.byte_ids[b] for b in text[start:stop].encode()]
+        while end > 0:
+            start, piece = came[end], ids[end]
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += [self.byte_ids[b] for b in reversed(text[base + start : base + end].encode())]
+            end = start
+        out.reverse()
         return out
 
     def span(self, span: str) -> list[int]:
         """The ids of a span with spaces written as spaces."""
         out: list[int] = []
+        if MARK not in span:
+            return self.viterbi(span.replace(" ", MARK))
         for k, part in enumerate(span.split(MARK)):  # a literal mark becomes bytes
             if k:
                 out += [self.byte_ids[b] for b in MARK.encode()]
@@ -214,7 +246,7 @@ def encode(df: DataFrame, model: str | None = None, text: str = "text") -> DataF
     path, schema, names = model or default_model(), _with(df, "ids", T.ArrayType(T.IntegerType())), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(Pieces(path))
+        memo = worker_state(f"pieces:{path}", lambda: Memo(Pieces(path)))
         for batch in batches:
             made = [memo.encode(t or "") for t in batch.column(names.index(text)).to_pylist()]
             ends = np.cumsum([0, *(len(b) // 4 for b in made)]).astype("<i4")
@@ -230,7 +262,7 @@ def decode(df: DataFrame, model: str | None = None, ids: str = "ids") -> DataFra
     path, schema, names = model or default_model(), _with(df, "decoded", T.StringType()), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = worker_state(f"pieces:{path}", lambda: Memo(Pieces(path))).pieces
         for batch in batches:
             column = batch.column(names.index(ids))
             flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(n or 0 for n in pc.list_value_length(column).to_pylist())])
