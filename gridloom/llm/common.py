@@ -84,15 +84,26 @@ def spread(*columns: Column | str, buckets: int, seed: int = 0) -> Column:
 HOT_KEYS, HOT_ROWS = 4096, 10_000
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, salts: int = 32) -> DataFrame:
-    """Inner join on ``key``, which is unique in ``right``; a hot key of ``left`` is spread over ``salts`` tasks.
+def hot_keys(left: DataFrame, key: str) -> DataFrame:
+    """(__hot): the keys with so many rows in ``left`` that there can be HOT_KEYS of them at most, which bounds their broadcast."""
+    least = max(HOT_ROWS, left.count() // HOT_KEYS + 1)
+    return left.groupBy(key).count().where(F.col("count") >= least).select(F.col(key).alias("__hot"))
+
+
+def salted(df: DataFrame, key: str, hot: DataFrame, salt: str, side: str, salts: int = 32) -> DataFrame:
+    """``df`` with a column ``salt``: 0, but for hot keys a hash of the other columns (side "left"), or every salt in turn ("right")."""
+    marked = df.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    if side == "left":
+        at = F.when(F.col("__hot").isNull(), 0).otherwise(spread(*[F.col(c) for c in df.columns if c != key], buckets=salts))
+    else:
+        at = F.explode(F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return marked.withColumn(salt, at).drop("__hot")
 
-    ``left`` is read three times, so it should be a narrow table. The hot keys that are broadcast are HOT_KEYS at most,
-    as each has at least that share of the rows.
+
+def skew_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on ``key``, which is unique in ``right``; a hot key of ``left`` is spread over tasks.
+
+    ``left`` is read three times, so it should be a narrow table.
     """
-    least = max(HOT_ROWS, left.count() // HOT_KEYS + 1)
-    hot = left.groupBy(key).count().where(F.col("count") >= least).select(F.col(key).alias("__hot"))
-    salt, others = free_name(left, "__salt"), [F.col(c) for c in left.columns if c != key]
-    near = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn(salt, F.when(F.col("__hot").isNull(), 0).otherwise(spread(*others, buckets=salts))).drop("__hot")
-    far = right.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn(salt, F.explode(F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1))))).drop("__hot")
-    return near.join(far, [key, salt]).drop(salt)
+    hot, salt = hot_keys(left, key), free_name(left, "__salt")
+    return salted(left, key, hot, salt, "left").join(salted(right, key, hot, salt, "right"), [key, salt]).drop(salt)

@@ -26,14 +26,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bound_batches, skew_join, table, text_of, written
+from gridloom.llm.common import bound_batches, hot_keys, salted, skew_join, table, text_of, written
 
 BLOCK = 64
 RATE = 16_000
 #: Least and greatest chunk, and the zeros that a cut's hash must have (about 2^13 bytes apart).
 LEAST, MOST, ZEROS = 2048, 65536, 13
 #: Chunks that the compression dictionary is trained on, at most, and its size.
-DICTIONARY_ROWS, DICTIONARY_BYTES, LEVEL = 2000, 112_640, 6
+DICTIONARY_ROWS, DICTIONARY_BYTES, LEVEL = 4000, 262_144, 7
 
 _GEAR = np.random.default_rng(2016).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -98,9 +98,10 @@ def _media(column: pa.Array) -> Iterator[tuple[int, bytes]]:
 
 def train_dictionary(documents: DataFrame) -> bytes:
     """From the documents of least doc_id hash, DICTIONARY_ROWS at most and 8 KB of each; empty if there are too few to train on."""
-    sample = documents.select(F.substring(text_of(), 1, 8192).alias("t"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h")).orderBy("h", "t").limit(DICTIONARY_ROWS)
-    bodies = [r.t.encode() for r in sample.collect() if r.t]
-    if len(bodies) < 100 or sum(map(len, bodies)) < 20 * DICTIONARY_BYTES:
+    ranked = documents.select("doc_id", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h")).orderBy("h").limit(DICTIONARY_ROWS)
+    texts = documents.join(F.broadcast(ranked), "doc_id").select("h", F.substring(text_of(), 1, 8192).alias("t")).orderBy("h", "t").limit(DICTIONARY_ROWS)
+    bodies = [r.t.encode() for r in texts.collect() if r.t]
+    if len(bodies) < 100 or sum(map(len, bodies)) < 8 * DICTIONARY_BYTES:
         return b""
     return zstandard.train_dictionary(DICTIONARY_BYTES, bodies, level=LEVEL).as_bytes()
 
@@ -123,8 +124,8 @@ def manifests(documents: DataFrame) -> DataFrame:
     return rows.groupBy("media", "seq").agg(F.first("digest").alias("digest"))
 
 
-def chunk_store(documents: DataFrame, dictionary: bytes = b"") -> DataFrame:
-    """(digest, body): one compressed body of each chunk."""
+def chunk_store(documents: DataFrame, dictionary: bytes = b"", hot: DataFrame | None = None) -> DataFrame:
+    """(digest, salt, body): one compressed body of each chunk; of those that are ``hot``, one for each salt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
@@ -143,11 +144,14 @@ def chunk_store(documents: DataFrame, dictionary: bytes = b"") -> DataFrame:
                 seen.clear()
             yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(bodies, pa.binary())], ["digest", "body"])
 
-    return documents.select(text_of().alias("text")).mapInArrow(run, "digest binary, body binary").groupBy("digest").agg(F.first("body").alias("body"))
+    bodies = documents.select(text_of().alias("text")).mapInArrow(run, "digest binary, body binary")
+    # salted before they are grouped, so that the join finds them where they are and doesn't send them again
+    spread_out = bodies.withColumn("salt", F.lit(0)) if hot is None else salted(bodies, "digest", hot, "salt", "right")
+    return spread_out.groupBy("digest", "salt").agg(F.first("body").alias("body"))
 
 
 def read_files(manifest: DataFrame, store: DataFrame, dictionary: bytes = b"") -> DataFrame:
-    """One row per distinct file, from its stored chunks: media (its digest), payload_bytes, payload_sha256, tail_crc32, media_bytes, feature."""
+    """``manifest`` has a column salt, as the store. One row per distinct file, from its stored chunks: media (its digest), payload_bytes, payload_sha256, tail_crc32, media_bytes, feature."""
     schema = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +183,7 @@ def read_files(manifest: DataFrame, store: DataFrame, dictionary: bytes = b"") -
         if at is not None:
             yield batch_of([close()])
 
-    joined = skew_join(manifest, store, "digest").select("media", "seq", "body")
+    joined = manifest.join(store, ["digest", "salt"]).select("media", "seq", "body")
     return joined.repartition("media").sortWithinPartitions("media", "seq").mapInArrow(run, schema)
 
 
@@ -198,7 +202,8 @@ def store_and_read(documents: DataFrame) -> DataFrame:
     named = written(documents.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(name, "doc_id long, n_bytes long, media binary"), "media-names")
     dictionary = train_dictionary(documents)
     manifest = written(manifests(documents), "media-manifests")
-    files = read_files(manifest, chunk_store(documents, dictionary), dictionary)
+    hot = hot_keys(manifest, "digest")
+    files = read_files(salted(manifest, "digest", hot, "salt", "left"), chunk_store(documents, dictionary, hot), dictionary)
     return skew_join(named, files, "media")
 
 
