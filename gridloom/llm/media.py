@@ -26,14 +26,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bound_batches, hot_keys, salted, skew_join, table, text_of, written
+from gridloom.llm.common import bound_batches, forget, hot_keys, salted, skew_join, table, text_of, written
 
 BLOCK = 64
 RATE = 16_000
 #: Least and greatest chunk, and the zeros that a cut's hash must have (about 2^13 bytes apart).
 LEAST, MOST, ZEROS = 2048, 65536, 13
 #: Chunks that the compression dictionary is trained on, at most, and its size.
-DICTIONARY_ROWS, DICTIONARY_BYTES, LEVEL = 4000, 262_144, 7
+DICTIONARY_ROWS, DICTIONARY_BYTES, LEVEL = 4000, 262_144, 15
 
 _GEAR = np.random.default_rng(2016).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -110,6 +110,7 @@ def manifests(documents: DataFrame) -> DataFrame:
     """(media, seq, digest): the ordered chunk list of each distinct file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             files, seqs, digests = [], [], []
             for _, media in _media(batch.column(0)):
@@ -128,6 +129,7 @@ def chunk_store(documents: DataFrame, dictionary: bytes = b"", hot: DataFrame |
     """(digest, salt, body): one compressed body of each chunk; of those that are ``hot``, one for each salt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=known)
         seen: set[bytes] = set()
@@ -155,6 +157,7 @@ def read_files(manifest: DataFrame, store: DataFrame, dictionary: bytes = b"") -
     schema = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         unpack = zstandard.ZstdDecompressor(dict_data=known)
         at, parts = None, []
@@ -192,6 +195,7 @@ def store_and_read(documents: DataFrame) -> DataFrame:
     bound_batches(documents.sparkSession)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sizes, files = [], []
             for n, media in _media(batch.column(1)):
