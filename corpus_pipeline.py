@@ -14,7 +14,7 @@ from gridloom.llm.common import table, text_of, written
 from gridloom.llm.linededup import dedup_lines
 from gridloom.llm.mixing import mix_documents
 from gridloom.llm.neardup import drop_near_duplicates
-from gridloom.llm.pieces import decode, digests, encode
+from gridloom.llm.pieces import digests, encode
 from gridloom.llm.quality import THRESHOLD, score
 
 
@@ -41,8 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text: their number and digest, and the digest of the text that they decode to."""
-    both = decode(encode(docs.select("doc_id", text_of().alias("text"))).select("doc_id", "ids"))
-    return both.select("doc_id", *digests())
+    return encode(docs.select("doc_id", text_of().alias("text")), and_decode=True).select("doc_id", *digests())
 
 
 STAGES = [("quality", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("mixing", mixing), ("pieces", pieces)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -11,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper bound of one Arrow batch sent to a Python worker, so that batches of very long texts stay small.
-ARROW_BATCH_BYTES = 16 << 20
-ARROW_BATCH_ROWS = 4096
+ARROW_BATCH_BYTES = 4 << 20
+ARROW_BATCH_ROWS = 2048
 
 #: White space of the contracts, as a Java regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -67,6 +68,11 @@ def worker_state(key: str, make):
     return holder.__dict__[key]
 
 
+def forget() -> None:
+    """Frees what the functions of a worker's earlier tasks held: garbage in cycles, whose size doesn't set off a collection."""
+    gc.collect()
+
+
 def free_name(df: DataFrame, want: str) -> str:
     """A column name that ``df`` doesn't have yet."""
     taken = {c.lower() for c in df.columns}

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import bound_batches, spread, table, text_of, written
+from gridloom.llm.common import bound_batches, forget, spread, table, text_of, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -137,6 +137,7 @@ def postings(documents: DataFrame, min_chars: int = MIN_CHARS, shards: int = SHA
     bound_batches(documents.sparkSession)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             ids, digests = [], []
             for doc, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1))):
@@ -172,6 +173,7 @@ def probe(rows: DataFrame, filters: DataFrame, splits: int = SPLITS) -> DataFram
     both = left.unionByName(right).repartition("shard", "split").sortWithinPartitions("shard", "split", "kind")
 
     def pass_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         at, known = None, None
         for batch in batches:
             shards, parts, digests, docs, kinds = (batch.column(k).to_pylist() for k in range(5))
@@ -218,6 +220,7 @@ def rewrite(documents: DataFrame, lost: DataFrame, min_chars: int = MIN_CHARS) -
     schema = [f for f in documents.schema.fields if f.name != "text"]
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             kept, lines, dropped, shas = [], [], [], []
             for text, gone in zip(_texts(batch.column("text")), batch.column("digests").to_pylist()):

@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bound_batches, skew_join, spread, table, text_of, written
+from gridloom.llm.common import bound_batches, forget, skew_join, spread, table, text_of, worker_state, written
 
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 25, 5
 COMPONENTS = BANDS * ROWS
 #: Text bytes that are hashed together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 #: Bits of the fixed-size filter that keeps texts without candidates out of the verifying shuffle.
 FILTER_BITS = 1 << 23
 #: Tasks over which the members of a much-linked class are spread.
@@ -62,20 +62,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_POWERS: list[np.ndarray] = []
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base, and of its inverse, modulo 2^64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, TOGETHER + 65536)
+    """The first n powers of the base, and of its inverse, modulo 2^64. A worker keeps those that common texts need."""
+
+    def make(size: int) -> list[np.ndarray]:
         made = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, _U(base))
             p[0] = _U(1)
             made.append(np.multiply.accumulate(p))
-        _POWERS[:] = made
-    return _POWERS[0][:n], _POWERS[1][:n]
+        return made
+
+    usual = TOGETHER + 65536
+    power, inverse = worker_state("shingle-powers", lambda: make(usual)) if n <= usual else make(n)
+    return power[:n], inverse[:n]
 
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,6 +175,7 @@ def signatures(documents: DataFrame) -> DataFrame:
     bound_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             sizes, keys, bands = [], [], []
@@ -225,6 +226,7 @@ def verify(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     rows = wanted.join(texts, "id").select("a", "split", "kind", F.col("id").alias("b"), "text").repartition("a", "split").sortWithinPartitions("a", "split", "kind", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         at, own = None, None
         for batch in batches:
             firsts, splits, kinds, seconds = (batch.column(k).to_pylist() for k in range(4))

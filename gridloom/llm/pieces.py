@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import bound_batches, table, text_of, worker_state
+from gridloom.llm.common import bound_batches, forget, table, text_of, worker_state
 
 MARK = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 #: Entries of a task's memo, and the longest span that enters it.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 150_000, 64
 LATIN = "[A-Za-zÀ-ÖØ-öø-ɏ]"
 #: How often the live paths are traced back.
 TRACE_EVERY = 64
@@ -114,14 +115,18 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         self.unknown = min(self.scores) - 10.0
         self.spans = self._sure_spans()
-        #: A trie: character -> (the next level, id, score), id -1 if it is no piece itself.
-        self.trie: dict = {}
+
+    @cached_property
+    def trie(self) -> dict:
+        """Character -> (the next level, id, score), id -1 if it is no piece itself."""
+        root: dict = {}
         for piece, i in sorted(self.ids.items()):  # prefixes first
-            level = self.trie
+            level = root
             for k, c in enumerate(piece, 1):
                 node = level.get(c) or ({}, -1, 0.0)
                 level[c] = node = (node[0], i, self.scores[i]) if k == len(piece) else node
                 level = node[0]
+        return root
 
     def _sure_spans(self) -> re.Pattern:
         """Cuts a text where no piece of this vocabulary can cross: before runs of spaces, around line feeds, between Latin letters and the rest."""
@@ -240,18 +245,23 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
-def encode(df: DataFrame, model: str | None = None, text: str = "text") -> DataFrame:
-    """``df`` with ``ids`` array<int>."""
+def encode(df: DataFrame, model: str | None = None, text: str = "text", and_decode: bool = False) -> DataFrame:
+    """``df`` with ``ids`` array<int>; with ``and_decode`` also ``decoded``, what those ids decode to, in the same pass."""
     bound_batches(df.sparkSession)
     path, schema, names = model or default_model(), _with(df, "ids", T.ArrayType(T.IntegerType())), df.columns
+    if and_decode:
+        schema = T.StructType([*schema.fields, _with(df, "decoded", T.StringType()).fields[-1]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         memo = worker_state(f"pieces:{path}", lambda: Memo(Pieces(path)))
         for batch in batches:
             made = [memo.encode(t or "") for t in batch.column(names.index(text)).to_pylist()]
             ends = np.cumsum([0, *(len(b) // 4 for b in made)]).astype("<i4")
-            flat = pa.array(np.frombuffer(b"".join(made), "<i4"))
-            yield pa.record_batch([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), flat)], [*names, "ids"])
+            columns = [*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), "<i4")))]
+            if and_decode:
+                columns.append(pa.array([memo.pieces.decode(np.frombuffer(b, "<i4").tolist()) for b in made], pa.string()))
+            yield pa.record_batch(columns, schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -262,7 +272,8 @@ def decode(df: DataFrame, model: str | None = None, ids: str = "ids") -> DataFra
     path, schema, names = model or default_model(), _with(df, "decoded", T.StringType()), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = worker_state(f"pieces:{path}", lambda: Memo(Pieces(path))).pieces
+        forget()
+        pieces = worker_state(f"table:{path}", lambda: Pieces(path))
         for batch in batches:
             column = batch.column(names.index(ids))
             flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(n or 0 for n in pc.list_value_length(column).to_pylist())])
@@ -284,5 +295,5 @@ def digests() -> list:
 def op6_pieces(spark, sf_dir: str) -> DataFrame:
     """Per document: number and digest (decimal, comma-joined) of its ids, and the digest of the text that they decode to."""
     documents = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
-    both = decode(encode(documents).select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("was"), "ids"))
-    return both.select("doc_id", *digests(), (F.col("was") == F.sha2(F.encode("decoded", "UTF-8"), 256)).alias("exact"))
+    both = encode(documents, and_decode=True)
+    return both.select("doc_id", *digests(), (F.col("text") == F.col("decoded")).alias("exact"))

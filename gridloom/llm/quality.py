@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import bound_batches, table, text_of
+from gridloom.llm.common import bound_batches, forget, table, text_of
 
 #: Chunks of CHUNK bytes begin every CHUNK - OVERLAP bytes.
 CHUNK, OVERLAP = 512, 64
@@ -157,6 +157,7 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     net, at = fit(texts, marks), documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
             scores: list[float] = []
