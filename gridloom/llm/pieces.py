@@ -146,7 +146,7 @@ class Pieces:
         best: list[float | None] = [None] * (min(n, TRACE_EVERY) + longest + 1)
         came, ids = [0] * len(best), [0] * len(best)
         best[0] = 0.0
-        start = 0
+        start, next_trace = 0, TRACE_EVERY
         while start < n:
             score = best[start - base]
             at = start - base
@@ -168,7 +168,7 @@ class Pieces:
                     if best[at + 1] is None or total > best[at + 1]:
                         best[at + 1], came[at + 1], ids[at + 1] = total, at, -1
             start += 1
-            if start - base >= TRACE_EVERY and start < n:
+            if start == next_trace and start < n:
                 # all live ends, traced back until one boundary is left
                 now = start - base
                 live = {k for k in range(now, min(n - base, now + longest - 1) + 1) if best[k] is not None}
@@ -183,7 +183,9 @@ class Pieces:
                     best = [None if x is None else x - least for x in best[meet:]]
                     came, ids = [x - meet for x in came[meet:]], ids[meet:]
                     base += meet
-                room = start - base + TRACE_EVERY + longest + 1 - len(best)
+                # paths that don't meet are traced ever more rarely, so that the work stays in proportion
+                next_trace = start + max(TRACE_EVERY, start - base)
+                room = next_trace - base + longest + 1 - len(best)
                 best += [None] * room
                 came += [0] * room
                 ids += [0] * room
