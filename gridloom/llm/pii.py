@@ -3,10 +3,11 @@
 Base spans (email, ip, card, phone) come from regular expressions that run in linear
 time and are checked afterwards (ranges, Luhn, digit counts). They seed the bootstrap:
 
-* an instance is an identifier-like token (digits, long enough);
-* a lexical pattern is the word to its left;
+* an instance is a base span, of any kind and shape, or an identifier-like token (digits, long enough) apart from them;
+* a lexical pattern is the word to the left of the token where it starts, whatever that word holds;
 * a pattern's confidence is the summed score of the instances that it introduces, over
-  how often that word occurs in the whole corpus at all;
+  how often that word occurs in the whole corpus at all; spans that start in one token count
+  as one occurrence of the word;
 * an instance's score is 1 for seeds, else the chance that any of its accepted patterns is right.
 
 Both are scored in turn over the pattern-instance graph; patterns of high confidence and
@@ -41,7 +42,8 @@ EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?:\G|(?<![0-9]))[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TOKEN = rf"(?<![^{SPACE}])(?=[^{SPACE}0-9]*+[0-9])[^{SPACE}]++"
+#: Each base span starts in such a token.
+TOKEN = rf"(?<![^{SPACE}])(?=[^{SPACE}0-9@]*+[0-9@])[^{SPACE}]++"
 
 
 def matches(text: Column, pattern: str, when: Column) -> Column:
@@ -99,17 +101,45 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*(of_kind(kind, *each) for kind, each in enumerate(tests))))
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<start, end, pattern, instance>> of the identifier-like tokens that have a word before them."""
+def marks(text: Column) -> Column:
+    """The tokens with a digit or an @, as ``matches`` returns them."""
+    return matches(text, TOKEN, text.rlike("[0-9@]"))
 
-    def shape(m: Column) -> Column:
-        lead = F.length(F.regexp_extract(m["hit"], r"^[^A-Za-z0-9+]*", 0))
-        instance = F.regexp_replace(m["hit"], r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]++$", "")
-        word = F.lower(F.regexp_extract(F.right(m["gap"], F.lit(64)), rf"([^{SPACE}]+)[{SPACE}]+$", 1))
-        return F.struct((m["start"] + lead).alias("start"), (m["start"] + lead + F.length(instance)).alias("end"), word.alias("pattern"), instance.alias("instance"))
 
-    shaped = F.transform(matches(text, TOKEN, text.rlike("[0-9]")), shape)
-    return F.filter(shaped, lambda c: (F.length(c["instance"]) >= MIN_CHARS) & (F.length(_digits(c["instance"])) >= MIN_DIGITS) & (c["pattern"] != ""))
+def tokens(found: Column) -> Column:
+    """array<struct<start, end, hit, pattern>> of ``marks``; ``pattern`` is the word to the left in lower case, "" where there is none."""
+
+    def shape(m: Column, k: Column) -> Column:
+        # between two marks are whole tokens; where there are none, the word is the mark before
+        words = F.rtrim(F.translate(m["gap"], "\t\n\v\f\r", " " * 5))
+        word = F.when(words != "", F.substring_index(words, " ", -1)).when(k > 0, F.get(found, k - 1)["hit"]).otherwise("")
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["hit"].alias("hit"), F.lower(word).alias("pattern"))
+
+    return F.transform(found, shape)
+
+
+def seeds(text: Column, base: Column, among: Column) -> Column:
+    """array<struct<start, end, pattern, instance, first, seed>>, one for each of the base spans that have a word before them; ``first``: no other starts before it in its token."""
+
+    def shape(b: Column, k: Column) -> Column:
+        token = F.get(F.filter(among, lambda t: (t["start"] <= b["start"]) & (t["end"] > b["start"])), F.lit(0))
+        first = (k == 0) | (F.get(base, k - 1)["start"] < token["start"])
+        return F.struct(b["start"].alias("start"), b["end"].alias("end"), token["pattern"].alias("pattern"), F.substring(text, b["start"] + 1, b["end"] - b["start"]).alias("instance"), first.alias("first"), F.lit(True).alias("seed"))
+
+    return F.filter(F.transform(base, shape), lambda c: c["pattern"] != "")
+
+
+def candidates(base: Column, among: Column) -> Column:
+    """The same of the identifier-like tokens that touch no base span and have a word before them."""
+
+    def shape(t: Column) -> Column:
+        lead = F.length(F.regexp_extract(t["hit"], r"^[^A-Za-z0-9+]*", 0))
+        instance = F.regexp_replace(t["hit"], r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]++$", "")
+        start = t["start"] + lead
+        return F.struct(start.alias("start"), (start + F.length(instance)).alias("end"), t["pattern"].alias("pattern"), instance.alias("instance"), F.lit(True).alias("first"), F.lit(False).alias("seed"))
+
+    known = lambda c: F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+    return F.filter(F.transform(among, shape), lambda c: (F.length(c["instance"]) >= MIN_CHARS) & (F.length(_digits(c["instance"])) >= MIN_DIGITS) & (c["pattern"] != "") & ~known(c))
 
 
 def bootstrap(edges: DataFrame, background: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -131,13 +161,13 @@ def bootstrap(edges: DataFrame, background: DataFrame, rounds: int = ROUNDS) ->
 def find_pii(documents: DataFrame) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): ``base`` and ``spans``, arrays of (start, kind, end)."""
     text = text_of()
-    # the text is read once for spans and candidates; what is kept of it is small
-    scanned = documents.select("doc_id", F.xxhash64(text).alias("of"), base_spans(text).alias("base"), candidates(text).alias("found"))
-    seed = lambda c: F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
-    marked = scanned.withColumn("found", F.transform("found", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["pattern"].alias("pattern"), c["instance"].alias("instance"), seed(c).alias("seed"))))
-    kept = written(marked, "pii-spans")
+    # the text is read once for spans and tokens; what is kept of it is small
+    scanned = documents.select("doc_id", text.alias("text"), F.xxhash64(text).alias("of"), base_spans(text).alias("base"), marks(text).alias("marks"))
+    shaped = scanned.select("doc_id", "text", "of", "base", tokens(F.col("marks")).alias("tokens"))
+    found = F.concat(seeds(F.col("text"), F.col("base"), F.col("tokens")), candidates(F.col("base"), F.col("tokens")))
+    kept = written(shaped.select("doc_id", "of", "base", found.alias("found")), "pii-spans")
     each = kept.where(F.size("found") > 0).select("doc_id", "of", F.explode("found").alias("c")).select("doc_id", "of", "c.*")
-    edges = written(each.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.bool_or("seed").alias("seed")), "pii-edges")
+    edges = written(each.groupBy("pattern", "instance").agg(F.sum(F.col("first").cast("long")).alias("n"), F.bool_or("seed").alias("seed")), "pii-edges")
     words = documents.select(F.explode(F.split(F.lower(text), rf"[{SPACE}]+")).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
     seeded = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= MIN_SUPPORT).select("pattern")
     background = written(words.join(seeded, "pattern", "left_semi"), "pii-words")

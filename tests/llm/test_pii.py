@@ -82,3 +82,16 @@ def test_scores_travel_over_the_graph(spark):
     first = {r.pattern for r in bootstrap(edges.withColumnRenamed("n", "n"), background.replace(7, 6), 1).collect()}
     later = {r.pattern for r in bootstrap(edges, background.replace(7, 6).replace(4, 3), 3).collect()}
     assert first == {"p"} and later == {"p", "q"}
+
+
+def test_seeds_of_every_shape_introduce_their_context(spark):
+    names = ("ann", "ben", "cid", "dan")
+    texts = [f"call: +1 (017) 555-771{k} card:\t4111 1111 1111 1111 mail:  {name}@x.com at7 10.0.0.{k}" for k, name in enumerate(names)]
+    texts += [f"card: {c} end" for c in ("4012 8888 8888 1881", "5555-5555-5555-4444")]
+    found = {"call: ext-55712 now": (6, 15), "card: no.99123 now": (6, 14), "mail: user_70011 now": (6, 16), "at7 node-77812x now": (4, 15)}
+    # two spans after one word are one occurrence of it: 2 of 5 here
+    none = ["pair: a@b.co,c@d.co", "pair: e@f.co,g@h.co", "pair: one", "pair: two", "pair: key-55123", "4 12345678"]
+    docs = spark.createDataFrame(list(enumerate([*texts, *found, *none])), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 4] for r in find_pii(docs).collect()}
+    want = [[]] * len(texts) + [[span] for span in found.values()] + [[]] * len(none)
+    assert [got[k] for k in range(len(want))] == want
