@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    @property
+    def height(self) -> int:
+        """Lines of the images; all are SIDE wide."""
+        return SIDE
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -74,6 +81,18 @@ class Fixtures:
         return self.table(table).agg(F.expr(expression).alias("v"))
 
 
+class FullFixtures(Fixtures):
+    """The same with images of all vectors: n x 64, of which each is a line."""
+
+    @cached_property
+    def height(self) -> int:
+        return self.table("embeddings").count()
+
+    def img(self, which: int) -> DataFrame:
+        """Line y is vector y + which, wrapped as in ``cube``."""
+        return image(self.table("embeddings"), F.pmod(F.col("vec_id") - which, F.lit(self.height)), F.col("embedding"))
+
+
 def _image_sql(which: int) -> str:
     return f"SELECT (vec_id - {SIDE * which})::INT AS y, x::INT AS x, v::DOUBLE AS v FROM (SELECT vec_id, unnest(range(0, 64)) AS x, unnest(embedding) AS v FROM embeddings WHERE vec_id >= {SIDE * which} AND vec_id < {SIDE * which + SIDE})"
 

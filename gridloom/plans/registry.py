@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.ieee import OPS, apply, q9
 from gridloom.operators import elementwise as E
 from gridloom.operators import flow, grid, sparse, stap
-from gridloom.plans.fixtures import ALPHA, ASYMMETRIC, CELLS, DIA_OFFSETS, FIVE_POINT, LAMBDA, N_DOP, SIDE, STEERING, TDOF, Fixtures, with_fixtures
+from gridloom.plans.fixtures import ALPHA, ASYMMETRIC, CELLS, DIA_OFFSETS, FIVE_POINT, LAMBDA, N_DOP, SIDE, STEERING, TDOF, Fixtures, FullFixtures, with_fixtures
 from gridloom.plans.iterate import cg_step, red_black_sweep
 
 SIGN = dict(zip(OPS, "+-*/"))
@@ -33,33 +33,41 @@ def _add(name: str, plan, sql: str | None, *values: str) -> None:
         _ORACLES[name] = sql
 
 
+def _add2d(name: str, plan, sql: str | None, *values: str) -> None:
+    """Registers ``name`` over images of 64 vectors, which its SQL describes, and ``name``_full over images of all vectors."""
+    _add(name, plan, sql, *values)
+    values = values or ("v",)
+    _QUERIES[f"{name}_full"] = lambda spark, sf_dir: _rounded(plan(FullFixtures(spark, sf_dir)), *values)
+
+
 def _elementwise() -> None:
     for op, sign in SIGN.items():
         _add(f"scalar_op_{op}", lambda f, op=op: E.scalar_op(op, f.scalar("sum(o_totalprice) / 1e10", "orders"), f.scalar("count(1) / 1e3", "part")), with_fixtures("scalar_a", "scalar_b") + f"SELECT {_q(f'(a.v {sign} b.v)')} AS v FROM scalar_a a, scalar_b b")
         _add(f"array_op_{op}", lambda f, op=op: E.array_op(op, f.vec_orders(), f.vec_orders2()), with_fixtures("vec_orders", "vec_orders2") + f"SELECT i, {_q(f'(a.v {sign} b.v)')} AS v FROM vec_orders a JOIN vec_orders2 b USING (i)")
-        _add(f"array2d_op_{op}", lambda f, op=op: E.array_op(op, f.img(0), E.array_scalar_op("add", f.img(1), 2.0)), with_fixtures("img_a", "img_b") + f"SELECT y, x, {_q(f'(a.v {sign} (b.v + 2.0))')} AS v FROM img_a a JOIN img_b b USING (y, x)")
+        _add2d(f"array2d_op_{op}", lambda f, op=op: E.array_op(op, f.img(0), E.array_scalar_op("add", f.img(1), 2.0)), with_fixtures("img_a", "img_b") + f"SELECT y, x, {_q(f'(a.v {sign} (b.v + 2.0))')} AS v FROM img_a a JOIN img_b b USING (y, x)")
         _add(f"array3d_op_{op}", lambda f, op=op: E.array_op(op, f.cube(0), E.array_scalar_op("add", f.cube(1), 2.0)), with_fixtures("cube_a", "cube_b") + f"SELECT z, y, x, {_q(f'(a.v {sign} (b.v + 2.0))')} AS v FROM cube_a a JOIN cube_b b USING (z, y, x)")
         for name, table, keys, get in (("array", "vec_orders2", "i", lambda f: f.vec_orders2()), ("array2d", "psi", "y, x", lambda f: f.psi()), ("array3d", "cube_a", "z, y, x", lambda f: E.array_scalar_op("add", f.cube(0), 2.0))):
             value = "(v + 2.0)" if name == "array3d" else "v"
             needs = with_fixtures(*(("img_a",) if table == "psi" else ()), table, "scalar_b")
-            _add(f"{name}_scalar_op_{op}", lambda f, op=op, get=get: E.array_scalar_op(op, get(f), f.scalar("count(1) / 1e3", "part")), needs + f"SELECT {keys}, {_q(f'({value} {sign} (SELECT v FROM scalar_b))')} AS v FROM {table}")
-            _add(f"scalar_{name}_op_{op}", lambda f, op=op, get=get: E.scalar_array_op(op, f.scalar("count(1) / 1e3", "part"), get(f)), needs + f"SELECT {keys}, {_q(f'((SELECT v FROM scalar_b) {sign} {value})')} AS v FROM {table}")
+            add = _add2d if name == "array2d" else _add
+            add(f"{name}_scalar_op_{op}", lambda f, op=op, get=get: E.array_scalar_op(op, get(f), f.scalar("count(1) / 1e3", "part")), needs + f"SELECT {keys}, {_q(f'({value} {sign} (SELECT v FROM scalar_b))')} AS v FROM {table}")
+            add(f"scalar_{name}_op_{op}", lambda f, op=op, get=get: E.scalar_array_op(op, f.scalar("count(1) / 1e3", "part"), get(f)), needs + f"SELECT {keys}, {_q(f'((SELECT v FROM scalar_b) {sign} {value})')} AS v FROM {table}")
     _QUERIES["int_div_trunc"] = lambda spark, d: Fixtures(spark, d).table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", apply("div", F.col("l_partkey") - 700, F.col("l_linenumber") - 8, integer=True).alias("v"))
     _ORACLES["int_div_trunc"] = "SELECT l_orderkey, l_partkey, l_linenumber, ((l_partkey - 700) // (l_linenumber - 8))::BIGINT AS v FROM lineitem"
     _add("hadamard_components", lambda f: E.hadamard_components("mul", f.snapshots(), f.snapshots()), with_fixtures("snapshots") + f"SELECT p, c, d, {_q('(re * re)')} AS re, {_q('(im * im)')} AS im FROM snapshots", "re", "im")
     _add("scalar_sqrt", lambda f: E.sqrt(f.scalar("sum(o_totalprice) / 1e10", "orders")), with_fixtures("scalar_a") + f"SELECT {_q('sqrt(v)')} AS v FROM scalar_a")
     _add("array_sqrt", lambda f: E.sqrt(f.vec_orders()), with_fixtures("vec_orders") + f"SELECT i, {_q('sqrt(v)')} AS v FROM vec_orders")
-    _add("array2d_sqrt", lambda f: E.sqrt(f.psi()), with_fixtures("img_a", "psi") + f"SELECT y, x, {_q('sqrt(v)')} AS v FROM psi")
+    _add2d("array2d_sqrt", lambda f: E.sqrt(f.psi()), with_fixtures("img_a", "psi") + f"SELECT y, x, {_q('sqrt(v)')} AS v FROM psi")
     _add("scalar_copy", lambda f: E.copy(f.scalar("count(1) / 1e3", "part")), with_fixtures("scalar_b") + "SELECT v FROM scalar_b")
     _add("array_copy", lambda f: E.copy(f.vec_orders()), with_fixtures("vec_orders") + f"SELECT i, {_q('v')} AS v FROM vec_orders")
-    _add("array2d_copy", lambda f: E.copy(f.img(0)), with_fixtures("img_a") + f"SELECT y, x, {_q('v')} AS v FROM img_a")
+    _add2d("array2d_copy", lambda f: E.copy(f.img(0)), with_fixtures("img_a") + f"SELECT y, x, {_q('v')} AS v FROM img_a")
     _add("array3d_copy", lambda f: E.copy(f.cube(0)), with_fixtures("cube_a") + f"SELECT z, y, x, {_q('v')} AS v FROM cube_a")
-    _add("return_tuple", lambda f: E.fuse(v=f.img(0), w=f.psi()), with_fixtures("img_a", "psi") + f"SELECT y, x, {_q('a.v')} AS v, {_q('p.v')} AS w FROM img_a a JOIN psi p USING (y, x)", "v", "w")
+    _add2d("return_tuple", lambda f: E.fuse(v=f.img(0), w=f.psi()), with_fixtures("img_a", "psi") + f"SELECT y, x, {_q('a.v')} AS v, {_q('p.v')} AS w FROM img_a a JOIN psi p USING (y, x)", "v", "w")
 
 
 def _reductions() -> None:
     _add("array_sum", lambda f: E.array_scalar_op("div", E.total(f.vec_orders()), 1e6), with_fixtures("vec_orders") + f"SELECT {_q('(sum(v) / 1e6)')} AS v FROM vec_orders")
-    _add("array2d_sum", lambda f: E.total(f.img(0)), with_fixtures("img_a") + f"SELECT {_q('sum(v)')} AS v FROM img_a")
+    _add2d("array2d_sum", lambda f: E.total(f.img(0)), with_fixtures("img_a") + f"SELECT {_q('sum(v)')} AS v FROM img_a")
     _add("dot", lambda f: E.array_scalar_op("div", E.dot(f.vec_orders(), f.vec_orders2()), 1e6), with_fixtures("vec_orders", "vec_orders2") + f"SELECT {_q('(sum(a.v * b.v) / 1e6)')} AS v FROM vec_orders a JOIN vec_orders2 b USING (i)")
     _add("norm", lambda f: E.array_scalar_op("div", E.norm(f.vec_orders()), 1e3), with_fixtures("vec_orders") + f"SELECT {_q('(sqrt(sum(v * v)) / 1e3)')} AS v FROM vec_orders")
 
@@ -81,7 +89,7 @@ def _sparse() -> None:
         return sparse.spmv_dia(f.dia_part(), DIA_OFFSETS, f.vec_part(), f.table("part").count())
 
     _add("spmv_dia", dia, with_fixtures("dia_part", "vec_part") + f"SELECT x.i, {_q('coalesce(s.v, 0.0)')} AS v FROM vec_part x LEFT JOIN (SELECT d.j - d.off AS i, sum(d.v * x.v) AS v FROM dia_part d JOIN vec_part x ON d.j = x.i GROUP BY ALL) s ON x.i = s.i")
-    _add("spmv_dia2d", lambda f: sparse.spmv_dia2d(flow.set_brox_matrix(f.psi(), ALPHA, SIDE, SIDE), flow.BROX_OFFSETS, f.img(0), SIDE, SIDE), with_fixtures("img_a", "psi") + f", m AS ({_brox_sql((0, 1, 2, 3, 4))}), o(k, ox, oy) AS (VALUES (0, 0, -1), (1, -1, 0), (2, 0, 0), (3, 1, 0), (4, 0, 1)) SELECT t.y, t.x, {_q('sum(m.v * s.v)')} AS v FROM img_a t JOIN o ON true JOIN m ON m.k = o.k AND m.y = t.y + o.oy AND m.x = t.x + o.ox JOIN img_a s ON s.y = m.y AND s.x = m.x GROUP BY t.y, t.x")
+    _add2d("spmv_dia2d", lambda f: sparse.spmv_dia2d(flow.set_brox_matrix(f.psi(), ALPHA, f.height, SIDE), flow.BROX_OFFSETS, f.img(0), f.height, SIDE), with_fixtures("img_a", "psi") + f", m AS ({_brox_sql((0, 1, 2, 3, 4))}), o(k, ox, oy) AS (VALUES (0, 0, -1), (1, -1, 0), (2, 0, 0), (3, 1, 0), (4, 0, 1)) SELECT t.y, t.x, {_q('sum(m.v * s.v)')} AS v FROM img_a t JOIN o ON true JOIN m ON m.k = o.k AND m.y = t.y + o.oy AND m.x = t.x + o.ox JOIN img_a s ON s.y = m.y AND s.x = m.x GROUP BY t.y, t.x")
 
 
 def _brox_sql(ks: tuple) -> str:
@@ -106,20 +114,20 @@ def _stencil_sql(taps: list, table: str = "img_a") -> str:
 
 def _grid() -> None:
     for name, parity, op in (("red", 0, grid.red), ("black", 1, grid.black)):
-        _add(name, lambda f, op=op: op(f.img(0)), with_fixtures("img_a") + f"SELECT y, x, {_q(f'(CASE WHEN (x + y) % 2 = {parity} THEN v ELSE 0.0 END)')} AS v FROM img_a")
-    _add("red_black_partition", lambda f: E.array_op("add", grid.red(f.img(0)), grid.black(f.img(0))), with_fixtures("img_a") + f"SELECT y, x, {_q('v')} AS v FROM img_a")
-    _add("stencil_5pt", lambda f: grid.stencil(f.img(0), FIVE_POINT, SIDE, SIDE), with_fixtures("img_a") + f"SELECT y, x, {_q('v')} AS v FROM ({_stencil_sql(FIVE_POINT)})")
-    _add("stencil_asym", lambda f: grid.stencil(f.img(0), ASYMMETRIC, SIDE, SIDE), with_fixtures("img_a") + f"SELECT y, x, {_q('v')} AS v FROM ({_stencil_sql(ASYMMETRIC)})")
+        _add2d(name, lambda f, op=op: op(f.img(0)), with_fixtures("img_a") + f"SELECT y, x, {_q(f'(CASE WHEN (x + y) % 2 = {parity} THEN v ELSE 0.0 END)')} AS v FROM img_a")
+    _add2d("red_black_partition", lambda f: E.array_op("add", grid.red(f.img(0)), grid.black(f.img(0))), with_fixtures("img_a") + f"SELECT y, x, {_q('v')} AS v FROM img_a")
+    _add2d("stencil_5pt", lambda f: grid.stencil(f.img(0), FIVE_POINT, f.height, SIDE), with_fixtures("img_a") + f"SELECT y, x, {_q('v')} AS v FROM ({_stencil_sql(FIVE_POINT)})")
+    _add2d("stencil_asym", lambda f: grid.stencil(f.img(0), ASYMMETRIC, f.height, SIDE), with_fixtures("img_a") + f"SELECT y, x, {_q('v')} AS v FROM ({_stencil_sql(ASYMMETRIC)})")
 
 
 def _flow() -> None:
     def warp(f: Fixtures) -> DataFrame:
-        return flow.warp_img2d(f.img(0), E.scalar_array_op("mul", 5.0, f.img(1)), E.scalar_array_op("mul", -7.0, f.img(2)), SIDE, SIDE)
+        return flow.warp_img2d(f.img(0), E.scalar_array_op("mul", 5.0, f.img(1)), E.scalar_array_op("mul", -7.0, f.img(2)), f.height, SIDE)
 
     shifted = "SELECT a.y, a.x, a.v AS s, 5.0::DOUBLE * b.v AS u, -7.0::DOUBLE * c.v AS w FROM img_a a JOIN img_b b USING (y, x) JOIN img_c c USING (y, x)"
     cells = "SELECT y, x, s, x + CASE WHEN u < 0 THEN trunc(u)::INT - 1 ELSE trunc(u)::INT END AS bx, y + CASE WHEN w < 0 THEN trunc(w)::INT - 1 ELSE trunc(w)::INT END AS byy, u - trunc(u) + CASE WHEN u < 0 THEN 1 ELSE 0 END AS fx, w - trunc(w) + CASE WHEN w < 0 THEN 1 ELSE 0 END AS fy FROM shifted"
     taps = "SELECT c.y, c.x, sum(CASE WHEN t.dx = 0 THEN 1 - fx ELSE fx END * CASE WHEN t.dy = 0 THEN 1 - fy ELSE fy END * i.v) AS v, count(i.v) AS n FROM cells c, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) AS t(dx, dy), img_a i WHERE i.x = c.bx + t.dx AND i.y = c.byy + t.dy GROUP BY c.y, c.x"
-    _add("warp", warp, with_fixtures("img_a", "img_b", "img_c") + f", shifted AS ({shifted}), cells AS ({cells}), taps AS ({taps}) SELECT c.y, c.x, {_q('(CASE WHEN t.n = 4 THEN t.v ELSE c.s END)')} AS v FROM cells c LEFT JOIN taps t USING (y, x)")
+    _add2d("warp", warp, with_fixtures("img_a", "img_b", "img_c") + f", shifted AS ({shifted}), cells AS ({cells}), taps AS ({taps}) SELECT c.y, c.x, {_q('(CASE WHEN t.n = 4 THEN t.v ELSE c.s END)')} AS v FROM cells c LEFT JOIN taps t USING (y, x)")
     for radius in (2, 5):
         box = f"RANGE BETWEEN {radius} PRECEDING AND {radius - 1} FOLLOWING"
         prods = "SELECT y, x, b.v * b.v AS xx, c.v * c.v AS yy, b.v * c.v AS xy, b.v * a.v AS xt, c.v * a.v AS yt FROM img_a a JOIN img_b b USING (y, x) JOIN img_c c USING (y, x)"
@@ -127,20 +135,20 @@ def _flow() -> None:
         over = lambda part, order, box=box: ", ".join(f"sum({n}) OVER (PARTITION BY {part} ORDER BY {order} {box}) AS {n}" for n in names)
         sums = f"SELECT y, x, {over('x', 'y')} FROM (SELECT y, x, {over('y', 'x')} FROM ({prods}))"
         good = f"x BETWEEN {radius} AND {SIDE - radius - 1} AND y BETWEEN {radius} AND {SIDE - radius - 1} AND xx * yy - xy * xy <> 0"
-        _add(f"lk_r{radius}", lambda f, radius=radius: flow.lk_least_squares(f.img(0), f.img(1), f.img(2), radius, SIDE, SIDE), with_fixtures("img_a", "img_b", "img_c") + f"SELECT y, x, {_q(f'(CASE WHEN {good} THEN (xt * yy - xy * yt) / (xx * yy - xy * xy) ELSE 0.0 END)')} AS du, {_q(f'(CASE WHEN {good} THEN (xx * yt - xy * xt) / (xx * yy - xy * xy) ELSE 0.0 END)')} AS dv FROM ({sums})", "du", "dv")
+        _add2d(f"lk_r{radius}", lambda f, radius=radius: flow.lk_least_squares(f.img(0), f.img(1), f.img(2), radius, f.height, SIDE), with_fixtures("img_a", "img_b", "img_c") + f"SELECT y, x, {_q(f'(CASE WHEN {good} THEN (xt * yy - xy * yt) / (xx * yy - xy * xy) ELSE 0.0 END)')} AS du, {_q(f'(CASE WHEN {good} THEN (xx * yt - xy * xt) / (xx * yy - xy * xy) ELSE 0.0 END)')} AS dv FROM ({sums})", "du", "dv")
     power = lambda z: f"s{z} AS (SELECT c.y, c.x, c.ix, c.iy, c.ix * (c.ix * c.u + c.iy * c.w) + {LAMBDA}::DOUBLE * sum(coalesce(c.u - n.u, 0)) AS u, c.iy * (c.ix * c.u + c.iy * c.w) + {LAMBDA}::DOUBLE * sum(coalesce(c.w - n.w, 0)) AS w FROM s{z - 1} c LEFT JOIN s{z - 1} n ON abs(n.y - c.y) + abs(n.x - c.x) = 1 AND n.y BETWEEN c.y - 1 AND c.y + 1 GROUP BY c.y, c.x, c.ix, c.iy, c.u, c.w)"
     start = "s0 AS (SELECT y, x, a.v AS ix, b.v AS iy, c.v AS u, a.v + b.v AS w FROM img_a a JOIN img_b b USING (y, x) JOIN img_c c USING (y, x))"
-    _add("hs_matrix_powers", lambda f: flow.hs_matrix_powers(LAMBDA, f.img(0), f.img(1), f.img(2), E.array_op("add", f.img(0), f.img(1)), 3), with_fixtures("img_a", "img_b", "img_c") + f", {start}, {power(1)}, {power(2)} " + " UNION ALL ".join(f"SELECT {z} AS z, y, x, {_q('u')} AS v0, {_q('w')} AS v1 FROM s{z}" for z in range(3)), "v0", "v1")
+    _add2d("hs_matrix_powers", lambda f: flow.hs_matrix_powers(LAMBDA, f.img(0), f.img(1), f.img(2), E.array_op("add", f.img(0), f.img(1)), 3), with_fixtures("img_a", "img_b", "img_c") + f", {start}, {power(1)}, {power(2)} " + " UNION ALL ".join(f"SELECT {z} AS z, y, x, {_q('u')} AS v0, {_q('w')} AS v1 FROM s{z}" for z in range(3)), "v0", "v1")
     base = with_fixtures("img_a", "psi")
-    _add("set_brox", lambda f: flow.set_brox_matrix(f.psi(), ALPHA, SIDE, SIDE), base + f"SELECT k, y, x, {_q('v')} AS v FROM ({_brox_sql((0, 1, 2, 3, 4))})")
-    _add("set_brox_redblack", lambda f: flow.set_brox_redblack_matrix(f.psi(), ALPHA, SIDE, SIDE)[0], base + f"SELECT k, y, x, {_q('v')} AS v FROM ({_brox_sql((0, 1, None, 2, 3))})")
-    _add("set_brox_redblack_diagonal", lambda f: flow.set_brox_redblack_matrix(f.psi(), ALPHA, SIDE, SIDE)[1], base + f"SELECT y, x, {_q('v')} AS v FROM ({_brox_sql((None, None, 0, None, None))})")
+    _add2d("set_brox", lambda f: flow.set_brox_matrix(f.psi(), ALPHA, f.height, SIDE), base + f"SELECT k, y, x, {_q('v')} AS v FROM ({_brox_sql((0, 1, 2, 3, 4))})")
+    _add2d("set_brox_redblack", lambda f: flow.set_brox_redblack_matrix(f.psi(), ALPHA, f.height, SIDE)[0], base + f"SELECT k, y, x, {_q('v')} AS v FROM ({_brox_sql((0, 1, None, 2, 3))})")
+    _add2d("set_brox_redblack_diagonal", lambda f: flow.set_brox_redblack_matrix(f.psi(), ALPHA, f.height, SIDE)[1], base + f"SELECT y, x, {_q('v')} AS v FROM ({_brox_sql((None, None, 0, None, None))})")
     images = lambda f: (f.psi(), E.array_scalar_op("add", f.psi(), 0.5), f.img(1), f.img(2), f.img(0))
     solved = ", ".join(f"{_q(e)} AS {n}" for n, e in (("y0", "((x0 * d - od * x1) / (a * d - od * od))"), ("y1", "((a * x1 - od * x0) / (a * d - od * od))")))
     joined = "SELECT y, x, p.v + {0} AS a, p.v + 0.5 + {0} AS d, b.v AS od, c.v AS x0, i.v AS x1 FROM psi p JOIN img_b b USING (y, x) JOIN img_c c USING (y, x) JOIN img_a i USING (y, x)"
     count = f"{LAMBDA} * ((x > 0)::INT + (x < {SIDE - 1})::INT + (y > 0)::INT + (y < {SIDE - 1})::INT)"
-    _add("hs_precond", lambda f: flow.apply_hs_preconditioner(FIVE_POINT, *images(f), SIDE, SIDE), with_fixtures("img_a", "img_b", "img_c", "psi") + f"SELECT y, x, {solved} FROM ({joined.format(count)})", "y0", "y1")
-    _add("brox_precond", lambda f: flow.apply_brox_preconditioner(flow.set_brox_matrix(f.psi(), ALPHA, SIDE, SIDE), *images(f)), with_fixtures("img_a", "img_b", "img_c", "psi") + f", m AS ({_brox_sql((None, None, 2, None, None))}) SELECT y, x, {solved} FROM ({joined.format('m.v')} JOIN m USING (y, x))", "y0", "y1")
+    _add2d("hs_precond", lambda f: flow.apply_hs_preconditioner(FIVE_POINT, *images(f), f.height, SIDE), with_fixtures("img_a", "img_b", "img_c", "psi") + f"SELECT y, x, {solved} FROM ({joined.format(count)})", "y0", "y1")
+    _add2d("brox_precond", lambda f: flow.apply_brox_preconditioner(flow.set_brox_matrix(f.psi(), ALPHA, f.height, SIDE), *images(f)), with_fixtures("img_a", "img_b", "img_c", "psi") + f", m AS ({_brox_sql((None, None, 2, None, None))}) SELECT y, x, {solved} FROM ({joined.format('m.v')} JOIN m USING (y, x))", "y0", "y1")
 
 
 def _stap() -> None:
@@ -157,16 +165,16 @@ def _stap() -> None:
 
 
 def _recipes() -> None:
-    five = lambda p: grid.stencil(p, FIVE_POINT, SIDE, SIDE)
+    five = lambda f: lambda p: grid.stencil(p, FIVE_POINT, f.height, SIDE)
     cg = (
         f", ap AS ({_stencil_sql(FIVE_POINT)}), n AS (SELECT a.y, a.x, a.v AS s, ap.v AS t FROM img_a a JOIN ap USING (y, x)), k AS (SELECT sum(s * s) AS rr, sum(s * t) AS pap FROM n), "
         "m AS (SELECT y, x, rr / pap * s AS nx, s - rr / pap * t AS nr, s, rr FROM n, k), q AS (SELECT sum(nr * nr) AS nrr FROM m) "
     )
     zero = lambda f: E.array_scalar_op("mul", f.img(0), 0.0)
-    _add("cg_step", lambda f: cg_step(five, zero(f), f.img(0), f.img(0)), with_fixtures("img_a") + cg + f"SELECT y, x, {_q('nx')} AS nx, {_q('nr')} AS nr, {_q('(nr + nrr / rr * s)')} AS np FROM m, q", "nx", "nr", "np")
+    _add2d("cg_step", lambda f: cg_step(five(f), zero(f), f.img(0), f.img(0)), with_fixtures("img_a") + cg + f"SELECT y, x, {_q('nx')} AS nx, {_q('nr')} AS nr, {_q('(nr + nrr / rr * s)')} AS np FROM m, q", "nx", "nr", "np")
     quarter = [(0, -1, 0.25), (-1, 0, 0.25), (1, 0, 0.25), (0, 1, 0.25)]
     first = f", a1 AS ({_stencil_sql(quarter)}), u1 AS (SELECT y, x, CASE WHEN (x + y) % 2 = 0 THEN a1.v ELSE i.v END AS v FROM a1 JOIN img_a i USING (y, x)), a2 AS ({_stencil_sql(quarter, 'u1')}) "
-    _add("red_black_sweep", lambda f: red_black_sweep(f.img(0), SIDE, SIDE), with_fixtures("img_a") + first + f"SELECT y, x, {_q('(CASE WHEN (x + y) % 2 = 1 THEN a2.v ELSE u1.v END)')} AS v FROM a2 JOIN u1 USING (y, x)")
+    _add2d("red_black_sweep", lambda f: red_black_sweep(f.img(0), f.height, SIDE), with_fixtures("img_a") + first + f"SELECT y, x, {_q('(CASE WHEN (x + y) % 2 = 1 THEN a2.v ELSE u1.v END)')} AS v FROM a2 JOIN u1 USING (y, x)")
 
 
 for _part in (_elementwise, _reductions, _sparse, _grid, _flow, _stap, _recipes):
