@@ -151,8 +151,8 @@ def postings(documents: DataFrame, min_chars: int = MIN_CHARS, shards: int = SHA
 
 
 def reference_counts(rows: DataFrame) -> DataFrame:
-    """(shard, digest, n_docs, max_doc), with partial sums before the shuffle."""
-    return rows.groupBy("shard", "digest").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
+    """(shard, digest, n_docs, max_doc), with partial sums before the shuffle; rows of one doc_id, or of none, are one document."""
+    return rows.select("shard", "digest", "doc_id").distinct().groupBy("shard", "digest").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
 
 
 def build_filters(frequent: DataFrame) -> DataFrame:

@@ -63,6 +63,17 @@ def test_line_index_is_reversible(spark, tmp_path):
     assert counts(back) == counts(index)
 
 
+def test_rows_of_one_document_count_once(spark, tmp_path):
+    twice, lone, common = ("a line of two documents", "a line of the rows without id", "a line of three documents")
+    rows = [(1, twice), (2, twice + "\nown"), (2, twice), (None, lone), (None, lone), (3, lone)]
+    rows += [(4, common), (5, common), (5, common), (None, common)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = linededup.LineIndex(spark, str(tmp_path)).insert(docs)
+    for made in (linededup.dedup_lines(docs), index.resolve(docs)):
+        got = sorted((r.doc_id or 0, r.kept) for r in made.collect())
+        assert got == sorted((k or 0, "" if k == 4 else t) for k, t in rows)
+
+
 def test_cuckoo_filter():
     digests = [hashlib.blake2b(str(k).encode(), digest_size=16).digest() for k in range(5000)]
     made = linededup.CuckooFilter.of(digests[:3000])
