@@ -31,8 +31,10 @@ from gridloom.llm.common import bound_batches, forget, table, text_of
 CHUNK, OVERLAP = 512, 64
 #: Filters of WIDTH bytes at a stride of WIDTH / 2, over embeddings of DEPTH numbers a byte.
 WIDTH, DEPTH, FILTERS = 16, 6, 24
-#: Labelled rows that the fit takes of each label at most, and the bytes that it takes of one.
-TRAIN_ROWS, TRAIN_BYTES = 1500, 1 << 17
+#: Labelled rows that the fit takes of each label at most; it takes their whole texts.
+TRAIN_ROWS = 1500
+#: Chunks that a step of the fit holds the intermediate results of at once.
+SLICE = 4096
 EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.01, 1e-4
 THRESHOLD = 0.3
 HELD_OUT, FOLDS = 0, 5
@@ -103,24 +105,29 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11, epochs: int = EP
             docs = order[lo : lo + BATCH]
             own = np.repeat(np.arange(len(docs)), counts[docs])
             rows = np.concatenate([np.arange(starts[d], starts[d] + counts[d]) for d in docs])
-            data = chunks[rows]
-            parts, at, top = net.forward(data)
             share = (1 / counts[docs])[own].astype(np.float32)
             means = np.zeros((len(docs), FILTERS), np.float32)
-            np.add.at(means, own, top * share[:, None])
+            slices = [slice(k, k + SLICE) for k in range(0, len(rows), SLICE)]
+            for some in slices:
+                passed = net.forward(chunks[rows[some]])
+                np.add.at(means, own[some], passed[2] * share[some, None])
             p = net.probability(means)
             slope = ((p - labels[docs]) * weight[docs] / len(docs)).astype(np.float32)
             grads = {"out": means.T @ slope, "out_bias": float(slope.sum())}
-            to_top = (slope[:, None] * net.out)[own] * share[:, None] * (top > 0)
-            grads["bias"] = to_top.sum(0)
-            chunk_at = np.arange(len(data))[:, None]
-            one, two = parts[chunk_at, at], parts[chunk_at, at + 1]  # chunks x FILTERS x half*DEPTH
-            grads["first"], grads["second"] = np.einsum("cf,cfk->kf", to_top, one), np.einsum("cf,cfk->kf", to_top, two)
-            grads["embed"] = np.zeros_like(net.embed)
-            windows = data.reshape(len(data), CHUNK // half, half)
-            for weights, shift in ((net.first, 0), (net.second, 1)):
-                back = (to_top[:, :, None] * weights.T[None]).reshape(-1, DEPTH)
-                np.add.at(grads["embed"], windows[chunk_at, at + shift].reshape(-1), back)
+            grads |= {k: np.zeros_like(getattr(net, k)) for k in ("bias", "first", "second", "embed")}
+            for some in slices:
+                data = chunks[rows[some]]
+                parts, at, top = passed if len(slices) == 1 else net.forward(data)
+                to_top = (slope[:, None] * net.out)[own[some]] * share[some, None] * (top > 0)
+                grads["bias"] += to_top.sum(0)
+                chunk_at = np.arange(len(data))[:, None]
+                one, two = parts[chunk_at, at], parts[chunk_at, at + 1]  # chunks x FILTERS x half*DEPTH
+                grads["first"] += np.einsum("cf,cfk->kf", to_top, one)
+                grads["second"] += np.einsum("cf,cfk->kf", to_top, two)
+                windows = data.reshape(len(data), CHUNK // half, half)
+                for weights, shift in ((net.first, 0), (net.second, 1)):
+                    back = (to_top[:, :, None] * weights.T[None]).reshape(-1, DEPTH)
+                    np.add.at(grads["embed"], windows[chunk_at, at + shift].reshape(-1), back)
             step += 1
             pace = RATE * (1 - epoch / epochs * 0.8)
             for k in names:
@@ -143,7 +150,7 @@ def sample(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> t
     chosen = ranked.where("quality = 0").orderBy("hash").limit(rows).unionByName(ranked.where("quality = 1").orderBy("hash").limit(rows))
     texts = documents.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * rows rows
     taken = texts.select("hash", "quality", F.encode("text", "UTF-8").alias("data")).orderBy("hash", "data").limit(2 * rows).collect()
-    return [bytes(r.data)[:TRAIN_BYTES] for r in taken], np.array([r.quality for r in taken], np.int64)
+    return [bytes(r.data) for r in taken], np.array([r.quality for r in taken], np.int64)
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -210,6 +210,16 @@ def test_quality_covers_whole_texts_and_empty_ones(spark):
     assert [r.held_out for r in docs.select(quality.held_out().alias("held_out")).collect()] == [zlib.crc32(str(k).encode()) % 5 == 0 for k in (1, 2, 3)]
 
 
+def test_quality_learns_from_whole_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "good text " * 14_000 + ("" if k % 2 else "#@!$ " * 4000)) for k in range(12)], "doc_id long, text string")
+    texts, marks = quality.sample(docs, spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int"))
+    assert {m: {len(t) for t, n in zip(texts, marks) if n == m} for m in (0, 1)} == {0: {160_000}, 1: {140_000}}
+    whole = quality.fit(texts, marks, epochs=1)
+    monkeypatch.setattr(quality, "SLICE", 100)
+    sliced = quality.fit(texts, marks, epochs=1)
+    assert all(np.allclose(getattr(whole, k), getattr(sliced, k), atol=1e-4) for k in ("embed", "first", "second", "bias", "out"))
+
+
 def test_ann_recall_and_exact_scores(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(6000, 16))
