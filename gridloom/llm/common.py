@@ -106,10 +106,10 @@ def salted(df: DataFrame, key: str, hot: DataFrame, salt: str, side: str, salts:
     return marked.withColumn(salt, at).drop("__hot")
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join on ``key``, which is unique in ``right``; a hot key of ``left`` is spread over tasks.
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on ``key``, which is unique in ``right``; a hot key of ``left`` is spread over tasks.
 
     ``left`` is read three times, so it should be a narrow table.
     """
     hot, salt = hot_keys(left, key), free_name(left, "__salt")
-    return salted(left, key, hot, salt, "left").join(salted(right, key, hot, salt, "right"), [key, salt]).drop(salt)
+    return salted(left, key, hot, salt, "left").join(salted(right, key, hot, salt, "right"), [key, salt], how).drop(salt)

@@ -122,3 +122,9 @@ def op5_sharding(spark, sf_dir: str) -> DataFrame:
     )
     placed = shuffle_to_shards(narrow, ["doc_id", "size", "text_crc32"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sharding_sizes(spark, sf_dir: str) -> DataFrame:
+    """What the law promises, shard by shard: rows, slots, and all bytes."""
+    found = op5_sharding(spark, sf_dir).groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count_distinct("slot").alias("n_slots"), F.sum("size").alias("bytes"))
+    return found.select("shard", "n_rows", "first_slot", "last_slot", "n_slots", F.sum("bytes").over(Window.partitionBy()).alias("all_bytes"))  # one row a shard

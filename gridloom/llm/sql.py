@@ -90,4 +90,25 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copi
 FROM shared
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op2_mixing": OP2, "op10_chat": OP10}
+PII_BASE = r"""
+WITH given AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id,
+  len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'))::BIGINT AS n_email,
+  len(list_filter(regexp_extract_all(t, '[0-9]+(?:\.[0-9]+){3}'), lambda m:
+    len(list_filter(string_split(m, '.'), lambda p: len(ltrim(p, '0')) > 3 OR right(p, 3)::INT > 255)) = 0))::BIGINT AS n_ip,
+  len(list_filter(list_transform(regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), lambda m: regexp_replace(m, '[^0-9]', '', 'g')), lambda d:
+    len(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(len(d)), lambda k:
+      (d[len(d) - k])::INT * (1 + k % 2) - CASE WHEN k % 2 = 1 AND (d[len(d) - k])::INT > 4 THEN 9 ELSE 0 END)) % 10 = 0))::BIGINT AS n_card,
+  len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda m: len(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15))::BIGINT AS n_phone
+FROM given
+"""
+
+#: Shards from 0 with their exact sizes under the law ``rows``, and that slots are gapless; sizes and checksums of all rows.
+SHARDING = r"""
+WITH rows AS (SELECT (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size FROM documents), total AS (SELECT count(*) AS n, sum(size)::BIGINT AS bytes FROM rows)
+SELECT s::INT AS shard, (n // 16 + CASE WHEN s < n % 16 THEN 1 ELSE 0 END)::BIGINT AS n_rows, 0::BIGINT AS first_slot,
+  (n // 16 + CASE WHEN s < n % 16 THEN 1 ELSE 0 END - 1)::BIGINT AS last_slot, (n // 16 + CASE WHEN s < n % 16 THEN 1 ELSE 0 END)::BIGINT AS n_slots, bytes AS all_bytes
+FROM total, range(0, 16) AS r(s) WHERE n // 16 + CASE WHEN s < n % 16 THEN 1 ELSE 0 END > 0
+"""
+
+ORACLES = {"pii_base_counts": PII_BASE, "sharding_sizes": SHARDING, "op1_line_dedup": OP1, "op2_mixing": OP2, "op10_chat": OP10}
