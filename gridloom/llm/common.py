@@ -33,26 +33,50 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and all executors are this process (tests)."""
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not known:
-        known = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="gridloom-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(known)
+        known = context.getCheckpointDir()
+        if not known and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        known = known or "file://" + tempfile.mkdtemp(prefix="gridloom-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(known)
     return known
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Folders of tables that ``written`` made and ``discard`` hasn't deleted.
+_written: set[str] = set()
 
 
-def written(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Writes ``df`` as Parquet below the shared folder and reads it back: smaller than a checkpoint, and columns can be pruned."""
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as Parquet below the shared folder and reads it back: this cuts the lineage, is smaller than a checkpoint, and columns can be pruned."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.add(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._gridloom_path = path
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _written.discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables from ``written`` that no plan needs any more."""
+    for each in tables:
+        if path := getattr(each, "_gridloom_path", None):
+            _delete(each.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that the operators of this process have written; results that aren't saved yet are lost."""
+    for path in list(_written):
+        _delete(spark, path)
 
 
 def text_of(name: str = "text") -> Column:

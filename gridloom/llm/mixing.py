@@ -11,8 +11,9 @@ rest the queue's first documents that fit; the last one is the untaken document
 size comes nearest to what is still lacking, if that is nearer than nothing.
 
 Cases: no rows give no rows; a null source is a source, the last one; null or empty texts
-have size 0 and are taken as often as the epochs say; ties in the queue are broken by
-doc_id. A repeated doc_id is taken as one more document of its own. Extra columns stay.
+have size 0 and are taken as often as the epochs say; ties in the queue are broken by doc_id, then size. Each row is
+a document of its own, also where its doc_id or all of it is repeated; equal rows are interchangeable. Extra columns stay, whatever
+their names; ``assign`` refuses those that it makes itself.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SPACE, table, text_of
+from gridloom.llm.common import SPACE, table, text_of, written
 
 #: A document is repeated at most so often.
 CAP = 3
@@ -39,7 +40,7 @@ def words(text: Column) -> Column:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """``sizes`` (source, source_size: one row a source) with ``rank`` (from 0) and ``target``.
 
-    The capped sources are those of least size by weight. Windows here run over one row a source.
+    The capped sources are those of least size by weight. Windows here run over one row a source, in one task: right for up to some millions of sources.
     """
     ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     weighed = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("rank") % len(weights) + 1).cast("long"))
@@ -84,40 +85,50 @@ def when_reached(share: Column, rank: Column, schedules=SCHEDULES) -> Column:
     return found
 
 
+def _source_key(source: Column) -> Column:
+    """A text of its own for each source, null included, so that keys are never null."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
+
+
 def assign(sized: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, cap: int = CAP) -> DataFrame:
-    """One row per row of ``sized`` (doc_id, source, size): also source_size, target, copies, taken, and ``positions``, the times of its copies."""
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(sizes, weights, cap).select(
-        F.col("source").alias("of"),
-        "source_size",
-        "rank",
-        "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int").alias("epochs"),
-    ).withColumn("part", F.col("target") - F.col("epochs") * F.col("source_size"))
-    queued = sized.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("cell", F.substring("hash", 1, CELL_DIGITS))
+    """One row per row of ``sized`` (doc_id, source, size; narrow, as it is read twice): also source_size, target, copies, taken, and ``positions``, the times of its copies.
+
+    Rows are joined by (source, cell) alone, of which a source has 16^CELL_DIGITS, and by their place in a cell; so no source meets in one task.
+    """
+    made = ("source_size", "target", "copies", "taken", "positions")
+    if clash := {c.lower() for c in sized.columns} & set(made):
+        raise ValueError(f"columns exist already: {sorted(clash)}")
+    given = sized.select(
+        F.struct(*sized.columns).alias("row"), F.col("source").alias("named"), _source_key(F.col("source")).alias("source"), F.col("doc_id").alias("doc"), F.col("size").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("hash")
+    ).withColumn("cell", F.substring("hash", 1, CELL_DIGITS))
     # prefix sums in two steps: cells of a source, then documents of a cell
-    cells = queued.groupBy("source", "cell").agg(F.sum("size").alias("held"))
-    starts = cells.select(F.col("source").alias("of"), F.col("cell").alias("at"), (F.sum("held").over(Window.partitionBy("source").orderBy("cell")) - F.col("held")).alias("start"))
-    inner = Window.partitionBy("source", "cell").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = queued.withColumn("within", F.sum("size").over(inner) - F.col("size"))
-    placed = summed.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("cell") == F.col("at")), "left").drop("of", "at")
-    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumn("before", F.col("start") + F.col("within"))
+    cells = written(given.groupBy("source", "cell").agg(F.sum("size").alias("held"), F.first("named").alias("named")), "mix-cells")
+    sizes = cells.groupBy("source").agg(F.sum("held").alias("source_size"), F.first("named").alias("named"))
+    shares = targets(sizes.select(F.col("named").alias("source"), "source_size"), weights, cap)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
+    plan = shares.select(_source_key(F.col("source")).alias("source"), "source_size", "rank", "target", epochs.alias("epochs"), (F.col("target") - epochs * F.col("source_size")).alias("part"))
+    starts = cells.select("source", "cell", (F.sum("held").over(Window.partitionBy("source").orderBy("cell")) - F.col("held")).alias("start")).join(plan, "source")
+    inner = Window.partitionBy("source", "cell").orderBy("hash", "doc", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = given.withColumn("within", F.sum("size").over(inner) - F.col("size")).withColumn("nr", F.row_number().over(inner))
     fits = (F.col("before") + F.col("size") <= F.col("part")) & (F.col("part") > 0)
-    flagged = placed.withColumn("more", F.when(fits, 1).otherwise(0))
+    queued = written(summed.join(starts, ["source", "cell"]).withColumn("before", F.col("start") + F.col("within")).withColumn("fits", fits).drop("named", "within", "start"), "mix-queue")
     # the document that comes nearest to what the fitting ones leave
-    left = flagged.groupBy("source", "part").agg(F.coalesce(F.sum(F.when(F.col("more") == 1, F.col("size"))), F.lit(0)).alias("fitted")).select(F.col("source").alias("of"), (F.col("part") - F.col("fitted")).alias("lack"))
-    near = flagged.where("more = 0").join(left, F.col("source").eqNullSafe(F.col("of"))).where(F.abs(F.col("size") - F.col("lack")) < F.col("lack"))
-    chosen = near.groupBy("of").agg(F.min(F.struct(F.abs(F.col("size") - F.col("lack")).alias("off"), "hash", "doc_id")).alias("c")).select("of", F.col("c.doc_id").alias("last"))
-    full = flagged.join(chosen, F.col("source").eqNullSafe(F.col("of")) & F.col("doc_id").eqNullSafe(F.col("last")), "left")
-    copies = F.least(F.col("epochs") + F.when(F.col("last").isNotNull() | (F.col("more") == 1), 1).otherwise(0), F.lit(cap)).cast("int")
+    left = queued.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("fitted"))
+    lacks = starts.join(left, "source").select("source", "cell", (F.col("part") - F.col("fitted")).alias("lack"))
+    off = F.abs(F.col("size") - F.col("lack"))
+    near = queued.where(~F.col("fits")).join(lacks, ["source", "cell"]).where(off < F.col("lack"))
+    chosen = near.groupBy("source").agg(F.min(F.struct(off.alias("off"), "hash", "doc", "size", "cell", "nr")).alias("c")).select("source", "c.cell", "c.nr", F.lit(1).alias("last"))
+    full = queued.join(chosen, ["source", "cell", "nr"], "left")
+    copies = F.least(F.col("epochs") + F.when(F.col("last").isNotNull() | F.col("fits"), 1).otherwise(0), F.lit(cap)).cast("int")
     share = lambda c: (c * F.col("source_size") + F.col("before")) / F.greatest(F.col("target"), F.lit(1.0))
+    times = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda c: when_reached(F.least(share(c), F.lit(1.0)), F.col("rank"), schedules))
     return full.withColumn("copies", copies).select(
-        *sized.columns,
+        "row.*",
         F.coalesce("source_size", F.lit(0)).alias("source_size"),
         "target",
         "copies",
         (F.col("size") * F.col("copies")).alias("taken"),
-        F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda c: when_reached(F.least(share(c), F.lit(1.0)), F.col("rank"), schedules))).otherwise(F.array().cast("array<double>")).alias("positions"),
+        F.when(F.col("copies") > 0, times).otherwise(F.array().cast("array<double>")).alias("positions"),
     )
 
 
@@ -127,15 +138,21 @@ def in_order(assigned: DataFrame) -> DataFrame:
 
 
 def mix_documents(documents: DataFrame) -> DataFrame:
-    """``documents`` as the mix takes them, in training order: untaken ones go, repeated ones come again. The columns stay."""
-    sized = documents.select("doc_id", "source", words(text_of()).alias("size"))
-    order = assign(sized).select(F.col("doc_id").alias("__of"), F.explode("positions").alias("__position"))
-    unique = order.groupBy("__of", "__position").agg(F.count(F.lit(1)).alias("__n")).drop("__n")
-    mixed = documents.join(unique, F.col("doc_id").eqNullSafe(F.col("__of")))
-    return mixed.repartitionByRange("__position", "doc_id").sortWithinPartitions("__position", "doc_id").select(*documents.columns)
+    """``documents`` as the mix takes them, in training order: untaken ones go, repeated ones come again. The columns stay.
+
+    Texts meet their positions by a digest of the whole row; rows that are equal in all columns are interchangeable, so
+    one of them stands for all, and comes as often as all of them are taken.
+    """
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    digest = [F.xxhash64(F.lit(salt), *columns).alias(f"row{salt}") for salt in (1, 2)]
+    sized = written(documents.select("doc_id", "source", words(text_of()).alias("size"), *digest), "mix-sizes")
+    order = assign(sized).select("row1", "row2", F.explode("positions").alias("at"))
+    one = documents.select(*digest, F.struct(*columns).alias("row")).groupBy("row1", "row2").agg(F.first("row").alias("row"))
+    mixed = order.join(one, ["row1", "row2"]).select("at", "row", F.col("row.doc_id").alias("doc"))
+    return mixed.repartitionByRange("at", "doc").sortWithinPartitions("at", "doc").select("row.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    sized = table(spark, sf_dir, "documents").select("doc_id", "source", words(text_of()).alias("size"))
+    sized = written(table(spark, sf_dir, "documents").select("doc_id", "source", words(text_of()).alias("size")), "mix-sizes")
     mixed = assign(sized).withColumn("first_position", F.try_element_at("positions", F.lit(1)))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "first_position").repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
