@@ -35,10 +35,29 @@ def complex_mul(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Col
     return a[0] * b[0] - a[1] * b[1], a[0] * b[1] + a[1] * b[0]
 
 
+def complex_div(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+    """By the conjugate; a divisor of 0 gives NaN in both parts."""
+    size = b[0] * b[0] + b[1] * b[1]
+    re, im = complex_mul(a, conj(b))
+    return divide(re, size), divide(im, size)
+
+
+def complex_apply(op: str, a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+    """True complex arithmetic on (re, im)."""
+    if op in ("add", "sub"):
+        return apply(op, a[0], b[0]), apply(op, a[1], b[1])
+    if op == "mul":
+        return complex_mul(a, b)
+    if op == "div":
+        return complex_div(a, b)
+    raise ValueError(f"unknown operator {op!r}; one of {OPS}")
+
+
 def conj(a: tuple[Column, Column]) -> tuple[Column, Column]:
     return a[0], -a[1]
 
 
-def q9(e: Column) -> Column:
-    """``e`` on a grid of 1e-9, so that results of different summation orders compare equal; NaN and huge values stay."""
-    return F.when(F.isnan(e) | (F.abs(e) > 1e9), e).otherwise(F.floor(e * 1e9 + 0.5) / 1e9)
+def on_grid(e: Column, digits: int = 9) -> Column:
+    """``e`` on a grid of so many decimal digits, so that results of different summation orders compare equal; NaN and huge values stay."""
+    scale = float(10**digits)
+    return F.when(F.isnan(e) | (F.abs(e) > 1e9), e).otherwise(F.floor(e * scale + 0.5) / scale)

@@ -1,7 +1,8 @@
 """Element-wise arithmetic, square roots, copies and reductions.
 
 Operands of one lineage should be columns of one row (``fuse`` makes such rows with one join on shared
-coordinates); then any chain of operators is one projection. Scalars are numbers or one-row frames.
+coordinates); then any chain of operators is one projection. Scalars are numbers or one-row frames (another
+number of rows is an error). A column ``f`` makes a batch of tensors of a DataFrame: operators treat each frame on its own.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.ieee import apply
+from gridloom.functions.ieee import apply, complex_apply
 
 
 def coordinates(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c in ("i", "z", "y", "x", "p", "s", "c", "d")]
+    return [c for c in df.columns if c in ("f", "i", "z", "y", "x", "p", "s", "c", "d")]
 
 
 def fuse(**tensors: DataFrame) -> DataFrame:
@@ -30,9 +31,15 @@ def array_op(op: str, a: DataFrame, b: DataFrame, integer: bool = False) -> Data
     return fuse(a=a, b=b).select(*keys, apply(op, F.col("a"), F.col("b"), integer).alias("v"))
 
 
+def one(scalar: DataFrame) -> DataFrame:
+    """The only row (v) of ``scalar``: an aggregate, so there is one row to broadcast whatever it holds."""
+    n = F.count(F.lit(1))
+    return scalar.agg(F.when(n == 1, F.first("v")).otherwise(F.raise_error(F.concat(n.cast("string"), F.lit(" rows are no scalar")))).alias("v"))
+
+
 def _scalar(df: DataFrame, scalar) -> tuple[DataFrame, Column]:
-    if isinstance(scalar, DataFrame):  # one row, so the broadcast is bounded
-        return df.crossJoin(F.broadcast(scalar.select(F.col("v").alias("__s")))), F.col("__s")
+    if isinstance(scalar, DataFrame):
+        return df.crossJoin(F.broadcast(one(scalar).select(F.col("v").alias("__s")))), F.col("__s")
     return df, F.lit(scalar)
 
 
@@ -52,7 +59,7 @@ def scalar_array_op(op: str, s, a: DataFrame, integer: bool = False) -> DataFram
 
 def scalar_op(op: str, a: DataFrame, b: DataFrame, integer: bool = False) -> DataFrame:
     """a op b for one-row frames."""
-    return a.select(F.col("v").alias("__a")).crossJoin(F.broadcast(b.select(F.col("v").alias("__b")))).select(apply(op, F.col("__a"), F.col("__b"), integer).alias("v"))
+    return one(a).select(F.col("v").alias("__a")).crossJoin(F.broadcast(one(b).select(F.col("v").alias("__b")))).select(apply(op, F.col("__a"), F.col("__b"), integer).alias("v"))
 
 
 def hadamard_components(op: str, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -62,6 +69,14 @@ def hadamard_components(op: str, a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select(*keys, apply(op, F.col("re"), F.col("__re")).alias("re"), apply(op, F.col("im"), F.col("__im")).alias("im"))
 
 
+def complex_op(op: str, a: DataFrame, b: DataFrame) -> DataFrame:
+    """a op b for complex tensors of one rank, as complex numbers."""
+    keys = coordinates(a)
+    both = a.join(b.withColumnsRenamed({"re": "__re", "im": "__im"}), keys)
+    re, im = complex_apply(op, (F.col("re"), F.col("im")), (F.col("__re"), F.col("__im")))
+    return both.select(*keys, re.alias("re"), im.alias("im"))
+
+
 def sqrt(a: DataFrame) -> DataFrame:
     """Element-wise for tensors and scalars; negative values give NaN."""
     return a.withColumn("v", F.sqrt("v"))
@@ -72,9 +87,9 @@ def copy(a: DataFrame) -> DataFrame:
     return a.select("*")
 
 
-def total(a: DataFrame, dtype: str = "double") -> DataFrame:
-    """The sum of all cells as a one-row frame: partial sums, then one."""
-    return a.agg(F.coalesce(F.sum("v"), F.lit(0)).cast(dtype).alias("v"))
+def total(a: DataFrame, by: tuple[str, ...] = (), dtype: str | None = None) -> DataFrame:
+    """The sum of all cells, of the cells' type unless ``dtype`` says otherwise: partial sums, then one row, or one for each of ``by``."""
+    return a.groupBy(*by).agg(F.coalesce(F.sum("v"), F.lit(0)).cast(dtype or a.schema["v"].dataType).alias("v"))
 
 
 def dot(a: DataFrame, b: DataFrame) -> DataFrame:

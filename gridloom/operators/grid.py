@@ -1,4 +1,7 @@
-"""Structured grids: parity masks, stencils, neighbours."""
+"""Structured grids: parity masks, stencils, neighbours.
+
+A grid is an image (y, x, v), or a batch of images of one size with a column ``f`` as well: the frame, on which all operators work apart.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def frame(a: DataFrame) -> list[str]:
+    return [c for c in a.columns if c == "f"]
+
+
 def _mask(a: DataFrame, parity: int) -> DataFrame:
     return a.withColumn("v", F.when((F.col("x") + F.col("y")) % 2 == parity, F.col("v")).otherwise(F.lit(0.0)))
 
@@ -35,20 +42,21 @@ def stencil(a: DataFrame, taps: list[tuple[int, int, float]], height: int, width
     if not taps:
         return a.withColumn("v", F.lit(0.0))
     tap = F.explode(F.array(*[F.struct(F.lit(ox).alias("ox"), F.lit(oy).alias("oy"), F.lit(float(w)).alias("w")) for ox, oy, w in taps]))
-    sent = a.withColumn("t", tap).select(F.explode(_targets(F.col("y"), F.col("t.oy"), height)).alias("ty"), "x", "t", "v")
-    sent = sent.select("ty", F.explode(_targets(F.col("x"), F.col("t.ox"), width)).alias("tx"), (F.col("t.w") * F.col("v")).alias("v"))
-    return sent.groupBy(F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.sum("v").alias("v"))
+    of = frame(a)
+    sent = a.withColumn("t", tap).select(*of, F.explode(_targets(F.col("y"), F.col("t.oy"), height)).alias("ty"), "x", "t", "v")
+    sent = sent.select(*of, "ty", F.explode(_targets(F.col("x"), F.col("t.ox"), width)).alias("tx"), (F.col("t.w") * F.col("v")).alias("v"))
+    return sent.groupBy(*of, F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.sum("v").alias("v"))
 
 
-def along_x():
-    """A line of the grid, in order."""
-    return Window.partitionBy("y").orderBy("x")
+def along_x(of: list[str]):
+    """A line of the grid, in order; ``of``: ``frame`` of the grid."""
+    return Window.partitionBy(*of, "y").orderBy("x")
 
 
-def along_y():
-    return Window.partitionBy("x").orderBy("y")
+def along_y(of: list[str]):
+    return Window.partitionBy(*of, "x").orderBy("y")
 
 
-def neighbours(name: str) -> dict[str, Column]:
+def neighbours(name: str, of: list[str]) -> dict[str, Column]:
     """left, right, up, down of a column; null outside the grid."""
-    return {"left": F.lag(name).over(along_x()), "right": F.lead(name).over(along_x()), "up": F.lag(name).over(along_y()), "down": F.lead(name).over(along_y())}
+    return {"left": F.lag(name).over(along_x(of)), "right": F.lead(name).over(along_x(of)), "up": F.lag(name).over(along_y(of)), "down": F.lead(name).over(along_y(of))}

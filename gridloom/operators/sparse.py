@@ -1,10 +1,16 @@
-"""Sparse products: an equi-join on the contracted index, partial sums, then the dense row domain."""
+"""Sparse products: an equi-join on the contracted index, partial sums, then the dense row domain.
+
+A column that holds a large share of all entries is one join key; the adaptive planner splits such a partition
+(``spark.sql.adaptive.skewJoin``, on by default), as nothing between the shuffle and the join keeps it from that.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.grid import frame
+
 
 def _dense(sums: DataFrame, domain: DataFrame, keys: list[str]) -> DataFrame:
     return domain.select(*keys).join(sums, keys, "left").select(*keys, F.coalesce("v", F.lit(0.0)).alias("v"))
@@ -29,7 +35,8 @@ def spmv_dia2d(data: DataFrame, offsets: list[tuple[int, int]], v: DataFrame, he
     """Banded grid operator (k, y, x, v), its coefficient at the source cell: out[y - offy, x - offx] += coefficient * v[y, x]."""
     ox = F.element_at(F.array(*[F.lit(o[0]) for o in offsets]), F.col("k") + 1)
     oy = F.element_at(F.array(*[F.lit(o[1]) for o in offsets]), F.col("k") + 1)
-    both = data.join(v.withColumnRenamed("v", "__v"), ["y", "x"])
-    sent = both.select((F.col("y") - oy).alias("y"), (F.col("x") - ox).alias("x"), (F.col("v") * F.col("__v")).alias("v"))
-    sums = sent.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).groupBy("y", "x").agg(F.sum("v").alias("v"))
-    return _dense(sums, v, ["y", "x"])
+    keys = [*frame(v), "y", "x"]
+    both = data.join(v.withColumnRenamed("v", "__v"), keys)
+    sent = both.select(*frame(v), (F.col("y") - oy).alias("y"), (F.col("x") - ox).alias("x"), (F.col("v") * F.col("__v")).alias("v"))
+    sums = sent.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).groupBy(*keys).agg(F.sum("v").alias("v"))
+    return _dense(sums, v, keys)

@@ -14,24 +14,36 @@ from gridloom.functions.ieee import complex_mul, conj
 
 def extract_snapshots(cube: DataFrame, n_dop: int, tdof: int, block: int) -> DataFrame:
     """(p, c, d, re, im) from (cell, dop, chan, re, im): each value goes to ``tdof`` Doppler-shifted snapshots; a map, no shuffle."""
-    f = F.explode(F.sequence(F.lit(0), F.lit(tdof - 1)))
-    sent = cube.withColumn("f", f)
+    sent = cube.withColumn("tap", F.explode(F.sequence(F.lit(0), F.lit(tdof - 1))))
     at = F.floor(F.col("cell") / block)
     return sent.select(
-        (at * n_dop + F.pmod(F.col("dop") + (tdof - 1) // 2 - F.col("f"), F.lit(n_dop))).cast("long").alias("p"),
+        (at * n_dop + F.pmod(F.col("dop") + (tdof - 1) // 2 - F.col("tap"), F.lit(n_dop))).cast("long").alias("p"),
         (F.col("cell") - at * block).cast("int").alias("c"),
-        (F.col("chan") * tdof + F.col("f")).cast("int").alias("d"),
+        (F.col("chan") * tdof + F.col("tap")).cast("int").alias("d"),
         "re",
         "im",
     )
 
 
 def cgemm_batch(snapshots: DataFrame) -> DataFrame:
-    """(p, i, j, re, im): sum over c of s_i * conj(s_j). A snapshot is packed into one row, its outer product is summed partially before the shuffle."""
-    packed = snapshots.groupBy("p", "c").agg(F.collect_list(F.struct("d", "re", "im")).alias("s"))  # D entries
-    pairs = packed.select("p", F.explode("s").alias("a"), "s").select("p", "a", F.explode("s").alias("b"))
-    re, im = complex_mul((F.col("a.re"), F.col("a.im")), conj((F.col("b.re"), F.col("b.im"))))
-    return pairs.groupBy("p", F.col("a.d").alias("i"), F.col("b.d").alias("j")).agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+    """(p, i, j, re, im): sum over c of s_i * conj(s_j). The snapshots of a problem (a training block, a few dozen) are one Arrow row; its product is one matrix product."""
+    packed = snapshots.groupBy("p").agg(F.collect_list(F.struct(F.col("c").cast("int"), F.col("d").cast("int"), "re", "im")).alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for p, entries in zip(batch.column(0).to_pylist(), batch.column(1)):
+                c, d, re, im = (entries.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                s = np.zeros((c.max() + 1, d.max() + 1), complex)
+                s[c, d] = re + 1j * im
+                made = s.T @ s.conj()
+                i, j = np.indices(made.shape)
+                out.append((np.full(made.size, p), i.ravel(), j.ravel(), made.real.ravel(), made.imag.ravel()))
+            if out:
+                p, i, j, re, im = (np.concatenate(x) for x in zip(*out))
+                yield pa.record_batch([pa.array(p.astype(np.int64)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(re), pa.array(im)], ["p", "i", "j", "re", "im"])
+
+    return packed.select(F.col("p").cast("long"), "s").mapInArrow(run, "p long, i int, j int, re double, im double")
 
 
 def solve_batch(cov: DataFrame, steering: np.ndarray) -> DataFrame:
@@ -70,9 +82,9 @@ def steering_frame(spark, steering: np.ndarray) -> DataFrame:
 
 def gamma_weights(weights: DataFrame, steering: DataFrame, mode: str = "kernel") -> DataFrame:
     """(p, s, re, im): with a = sum of conj(w) * steering, a / |a|^2; or 1 / |a| (1 where a is 0) in mode "magnitude"."""
-    st = steering.select("s", "d", F.col("re").alias("sre"), F.col("im").alias("sim"))  # S x D literals
+    st = steering.select("s", "d", F.col("re").alias("sre"), F.col("im").alias("sim"))  # S x D rows: small, and broadcast where their size says so
     re, im = complex_mul(conj((F.col("re"), F.col("im"))), (F.col("sre"), F.col("sim")))
-    a = weights.join(F.broadcast(st), ["s", "d"]).groupBy("p", "s").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+    a = weights.join(st, ["s", "d"]).groupBy("p", "s").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
     size = F.col("re") * F.col("re") + F.col("im") * F.col("im")
     if mode == "magnitude":
         return a.select("p", "s", F.when(size > 0, 1 / F.sqrt(F.when(size > 0, size))).otherwise(1.0).alias("re"), F.lit(0.0).alias("im"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +22,6 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
-    @property
-    def height(self) -> int:
-        """Lines of the images; all are SIDE wide."""
-        return SIDE
-
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -48,17 +41,22 @@ class Fixtures:
         k = F.explode(F.sequence(F.lit(0), F.lit(len(DIA_OFFSETS) - 1)))
         return self.table("part").select(k.alias("k"), F.col("p_partkey").alias("j"), "p_size").select("k", "j", ((F.col("k") + 1) * F.col("p_size") / 50).alias("v"))
 
+    def counted(self) -> DataFrame:
+        """embeddings with their number ``n``, the one row of an aggregate."""
+        e = self.table("embeddings")
+        return e.crossJoin(F.broadcast(e.agg(F.count(F.lit(1)).alias("n"))))
+
     def img(self, which: int) -> DataFrame:
-        """64 x 64 images of vectors [64 * which, 64 * which + 64)."""
-        rows = self.table("embeddings").where(F.col("vec_id").between(SIDE * which, SIDE * which + SIDE - 1))
-        return image(rows, F.col("vec_id") - SIDE * which, F.col("embedding"))
+        """(f, y, x, v): all vectors as images of 64 x 64. Line y of frame f is vector 64 * (f + which) + y, counted round, so the last frame is whole too."""
+        lines = F.sequence(F.pmod(F.col("vec_id") - SIDE * which, F.col("n")), F.expr(f"(n + {SIDE - 1}) div {SIDE} * {SIDE} - 1"), F.col("n"))
+        rows = self.counted().select(F.explode(lines).alias("k"), "embedding")
+        return image(rows, F.col("k") % SIDE, F.col("embedding"), F.expr(f"k div {SIDE}"))
 
     def psi(self) -> DataFrame:
         return self.img(0).withColumn("v", 1 + F.col("v") * F.col("v"))
 
     def cube(self, shift: int) -> DataFrame:
-        n = F.lit(self.table("embeddings").count())
-        rows = self.table("embeddings").select(F.pmod(F.col("vec_id") - shift, n).cast("int").alias("z"), F.posexplode("embedding"))
+        rows = self.counted().select(F.pmod(F.col("vec_id") - shift, F.col("n")).cast("int").alias("z"), F.posexplode("embedding"))
         return rows.select("z", F.expr("CAST(pos div 8 AS INT)").alias("y"), (F.col("pos") % 8).alias("x"), F.col("col").cast("double").alias("v"))
 
     def datacube(self) -> DataFrame:
@@ -81,20 +79,9 @@ class Fixtures:
         return self.table(table).agg(F.expr(expression).alias("v"))
 
 
-class FullFixtures(Fixtures):
-    """The same with images of all vectors: n x 64, of which each is a line."""
-
-    @cached_property
-    def height(self) -> int:
-        return self.table("embeddings").count()
-
-    def img(self, which: int) -> DataFrame:
-        """Line y is vector y + which, wrapped as in ``cube``."""
-        return image(self.table("embeddings"), F.pmod(F.col("vec_id") - which, F.lit(self.height)), F.col("embedding"))
-
-
 def _image_sql(which: int) -> str:
-    return f"SELECT (vec_id - {SIDE * which})::INT AS y, x::INT AS x, v::DOUBLE AS v FROM (SELECT vec_id, unnest(range(0, 64)) AS x, unnest(embedding) AS v FROM embeddings WHERE vec_id >= {SIDE * which} AND vec_id < {SIDE * which + SIDE})"
+    lines = f"SELECT n, unnest(range(0, (n + {SIDE - 1}) // {SIDE} * {SIDE})) AS k FROM (SELECT count(*) AS n FROM embeddings)"
+    return f"SELECT (k // {SIDE})::INT AS f, (k % {SIDE})::INT AS y, x::INT AS x, v::DOUBLE AS v FROM (SELECT k, unnest(range(0, 64)) AS x, unnest(embedding) AS v FROM ({lines}) JOIN embeddings ON vec_id = (k + {SIDE * which}) % n)"
 
 
 _STEERING_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({s}, {d}, {w.real}::DOUBLE, {w.imag}::DOUBLE)" for s, line in enumerate(STEERING) for d, w in enumerate(map(complex, line))) + ") AS t(s, d, re, im)"
@@ -108,7 +95,7 @@ SQL = {
     "img_a": _image_sql(0),
     "img_b": _image_sql(1),
     "img_c": _image_sql(2),
-    "psi": "SELECT y, x, 1 + v * v AS v FROM img_a",
+    "psi": "SELECT f, y, x, 1 + v * v AS v FROM img_a",
     "cube_a": "SELECT vec_id::INT AS z, (q // 8)::INT AS y, (q % 8)::INT AS x, v::DOUBLE AS v FROM (SELECT vec_id, unnest(range(0, 64)) AS q, unnest(embedding) AS v FROM embeddings)",
     "cube_b": "SELECT ((vec_id - 1 + (SELECT count(*) FROM embeddings)) % (SELECT count(*) FROM embeddings))::INT AS z, (q // 8)::INT AS y, (q % 8)::INT AS x, v::DOUBLE AS v FROM (SELECT vec_id, unnest(range(0, 64)) AS q, unnest(embedding) AS v FROM embeddings)",
     "datacube": "SELECT vec_id AS cell, (q // 4)::INT AS dop, (q % 4)::INT AS chan, embedding[2 * q + 1]::DOUBLE AS re, embedding[2 * q + 2]::DOUBLE AS im FROM embeddings, range(0, 32) AS r(q)",

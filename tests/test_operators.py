@@ -1,5 +1,3 @@
-import shutil
-
 import numpy as np
 import pytest
 
@@ -151,26 +149,3 @@ def test_sources_loops_and_streams(spark, tmp_path):
     stream = spark.readStream.schema("y int, x int, v double").parquet(f"{tmp_path}/a")
     each_frame(stream, grid.red, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert np.array_equal(to_numpy(load(spark, f"{tmp_path}/out").drop("frame"), (3, 4)), np.where(np.indices((3, 4)).sum(0) % 2 == 0, a, 0))
-
-
-def test_full_images_hold_all_vectors(spark, tmp_path):
-    from gridloom.plans import registry
-    from gridloom.plans.fixtures import ASYMMETRIC
-
-    n, known = 200, registry.queries()
-    e = RNG.normal(size=(n, 64)).astype(np.float32)
-    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(e)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    shutil.copy("/root/testdata/sf0.001/part.parquet", tmp_path)
-    full = [q for q in known if q.endswith("_full")]
-    assert len(full) == 33 and all(q.removesuffix("_full") in registry.oracle_sql() for q in full)
-    for q in full:
-        df = known[q](spark, str(tmp_path))
-        if q != "array2d_sum_full":
-            assert df.select("y", "x").distinct().count() == n * 64, q
-    get = lambda q: to_numpy(known[q](spark, str(tmp_path)), (n, 64))
-    a, b, c = (np.roll(e.astype(float), -k, 0) for k in range(3))
-    at = lambda oy, ox: a[np.clip(np.arange(n) + oy, 0, n - 1)][:, np.clip(np.arange(64) + ox, 0, 63)]
-    assert np.allclose(get("stencil_asym_full"), sum(w * at(oy, ox) for ox, oy, w in ASYMMETRIC), atol=1e-8)
-    assert np.allclose(get("array2d_op_add_full"), a + b + 2, atol=1e-8)
-    assert np.allclose(get("warp_full"), brute_warp(a, 5 * b, -7 * c), atol=1e-8)
-    assert np.isclose(known["array2d_sum_full"](spark, str(tmp_path)).first().v, a.sum(), atol=1e-8)
