@@ -106,23 +106,26 @@ def train_dictionary(documents: DataFrame) -> bytes:
     return zstandard.train_dictionary(DICTIONARY_BYTES, bodies, level=LEVEL).as_bytes()
 
 
-def manifests(documents: DataFrame) -> DataFrame:
-    """(media, seq, digest): the ordered chunk list of each distinct file."""
+def named(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media, digests): each document's file and the ordered digests of its chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            files, seqs, digests = [], [], []
-            for _, media in _media(batch.column(0)):
-                name = hashlib.sha256(media).digest()
-                for k, chunk in enumerate(chunks_of(media)):
-                    files.append(name)
-                    seqs.append(k)
-                    digests.append(digest_of(chunk))
-            yield pa.record_batch([pa.array(files, pa.binary()), pa.array(seqs, pa.int32()), pa.array(digests, pa.binary())], ["media", "seq", "digest"])
+            sizes, files, digests = [], [], []
+            for n, media in _media(batch.column(1)):
+                sizes.append(n)
+                files.append(hashlib.sha256(media).digest())
+                digests.append([digest_of(chunk) for chunk in chunks_of(media)])
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(files, pa.binary()), pa.array(digests, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media", "digests"])
 
-    rows = documents.select(text_of().alias("text")).mapInArrow(run, "media binary, seq int, digest binary")
-    return rows.groupBy("media", "seq").agg(F.first("digest").alias("digest"))
+    return documents.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary, digests array<binary>")
+
+
+def manifests(names: DataFrame) -> DataFrame:
+    """(media, seq, digest, n): the ordered chunk list of each distinct file, and its length."""
+    rows = names.select("media", F.size("digests").alias("n"), F.posexplode("digests").alias("seq", "digest"))
+    return rows.groupBy("media", "seq").agg(F.first("digest").alias("digest"), F.first("n").alias("n"))
 
 
 def chunk_store(documents: DataFrame, dictionary: bytes = b"", hot: DataFrame | None = None) -> DataFrame:
@@ -186,29 +189,25 @@ def read_files(manifest: DataFrame, store: DataFrame, dictionary: bytes = b"") -
         if at is not None:
             yield batch_of([close()])
 
-    joined = manifest.join(store, ["digest", "salt"]).select("media", "seq", "body")
-    return joined.repartition("media").sortWithinPartitions("media", "seq").mapInArrow(run, schema)
+    def joined(which: str) -> DataFrame:
+        return manifest.where(which).join(store, ["digest", "salt"]).select("media", "seq", "body")
+
+    # a file of one chunk is whole where its chunk is; only the others' bodies are sent on
+    several = joined("n > 1").repartition("media").sortWithinPartitions("media", "seq")
+    return joined("n = 1").mapInArrow(run, schema).unionByName(several.mapInArrow(run, schema))
 
 
 def store_and_read(documents: DataFrame) -> DataFrame:
     """Stores the texts of ``documents`` (doc_id, text) and reads them back: the columns of ``read_files``, doc_id and n_bytes."""
     bound_batches(documents.sparkSession)
+    documents = documents.select("doc_id", "text")  # extra columns aren't read
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        for batch in batches:
-            sizes, files = [], []
-            for n, media in _media(batch.column(1)):
-                sizes.append(n)
-                files.append(hashlib.sha256(media).digest())
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
-
-    named = written(documents.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(name, "doc_id long, n_bytes long, media binary"), "media-names")
+    names = written(named(documents), "media-names")
     dictionary = train_dictionary(documents)
-    manifest = written(manifests(documents), "media-manifests")
+    manifest = written(manifests(names), "media-manifests")
     hot = hot_keys(manifest, "digest")
     files = read_files(salted(manifest, "digest", hot, "salt", "left"), chunk_store(documents, dictionary, hot), dictionary)
-    return skew_join(named, files, "media")
+    return skew_join(names.drop("digests"), files, "media")
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:
