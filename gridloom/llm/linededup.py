@@ -17,7 +17,8 @@ BLAKE2b.
 
 Cases: null or empty texts are one empty line; a line repeated in one document counts
 once there; no rows give no rows; null doc_ids count as one document that is never the
-largest, and their lines stay; rows that share a doc_id are one document.
+largest, and their lines stay; rows that share a doc_id are one document. Extra columns stay, whatever their names; ``rewrite``
+refuses those that it makes itself.
 """
 
 from __future__ import annotations
@@ -31,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import bound_batches, forget, spread, table, text_of, written
+from gridloom.llm.common import bound_batches, forget, free_name, spread, table, text_of, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-#: Shards of the state. A shard's filter takes about 3 bytes a frequent digest.
-SHARDS = 64
+#: Shards of the state, at least, and frequent digests that a shard holds on average, at most. A filter takes about 3 bytes a digest.
+SHARDS, SHARD_DIGESTS = 64, 250_000
 #: Each shard is probed by so many tasks, split by doc_id, so that a frequent line's holders spread.
 SPLITS = 4
 STRIP = b" \t\n\v\f\r"
@@ -58,10 +59,24 @@ class CuckooFilter:
         capacity = max(16, len(digests))
         while True:
             made = cls(capacity)
-            if all(made.add(d) for d in digests):
+            if all(made.add(d) for d in made._fill(digests)):
                 return made
             capacity *= 2
 
+    def _fill(self, digests: list[bytes]) -> list[bytes]:
+        """Puts digests into free slots of their two buckets, all at once; returns those that must move others."""
+        mark, *places = self._all_places(digests)
+        left, held = np.arange(len(digests)), (self.slots != 0).sum(1)
+        for place in places:
+            order = left[np.argsort(place[left], kind="stable")]
+            buckets = place[order]
+            slot = held[buckets] + np.arange(len(order)) - np.searchsorted(buckets, buckets)
+            fits = slot < BUCKET
+            self.slots[buckets[fits], slot[fits]] = mark[order[fits]]
+            held += np.bincount(buckets[fits].astype(np.int64), minlength=len(held))
+            left = order[~fits]
+        return [digests[k] for k in left]
+
     @classmethod
     def loads(cls, blob: bytes) -> CuckooFilter:
         return cls(slots=np.frombuffer(blob, np.uint16).reshape(-1, BUCKET).copy())
@@ -105,13 +120,16 @@ class CuckooFilter:
                 return True
         return False
 
-    def holds(self, digests: list[bytes]) -> np.ndarray:
-        """Which of the digests may be in the set."""
+    def _all_places(self, digests: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
         mark = np.maximum(np.ascontiguousarray(raw[:, 8:10]).view("<u2")[:, 0], 1)
         low = np.uint64(len(self.slots) - 1)
         first = np.ascontiguousarray(raw[:, :8]).view("<u8")[:, 0] & low
-        other = (first ^ (mark.astype(np.uint64) * np.uint64(0x5BD1E995))) & low
+        return mark, first, (first ^ (mark.astype(np.uint64) * np.uint64(0x5BD1E995))) & low
+
+    def holds(self, digests: list[bytes]) -> np.ndarray:
+        """Which of the digests may be in the set."""
+        mark, first, other = self._all_places(digests)
         return (self.slots[first] == mark[:, None]).any(1) | (self.slots[other] == mark[:, None]).any(1)
 
 
@@ -132,8 +150,8 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def postings(documents: DataFrame, min_chars: int = MIN_CHARS, shards: int = SHARDS) -> DataFrame:
-    """(shard, digest, doc_id), once for each document and key."""
+def postings(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(digest, doc_id), once for each row and key."""
     bound_batches(documents.sparkSession)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,17 +164,21 @@ def postings(documents: DataFrame, min_chars: int = MIN_CHARS, shards: int = SHA
                 ids += [doc] * len(held)
             yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(ids, pa.int64())], ["digest", "doc_id"])
 
-    rows = documents.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(explode, "digest binary, doc_id long")
-    return rows.select(spread("digest", buckets=shards).alias("shard"), "digest", "doc_id")
+    return documents.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(explode, "digest binary, doc_id long")
+
+
+def sharded(rows: DataFrame, shards: int) -> DataFrame:
+    """``rows`` with the shard of their digest."""
+    return rows.withColumn("shard", spread("digest", buckets=shards))
 
 
 def reference_counts(rows: DataFrame) -> DataFrame:
-    """(shard, digest, n_docs, max_doc), with partial sums before the shuffle; rows of one doc_id, or of none, are one document."""
-    return rows.select("shard", "digest", "doc_id").distinct().groupBy("shard", "digest").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
+    """(digest, n_docs, max_doc), with partial sums before the shuffle; rows of one doc_id, or of none, are one document."""
+    return rows.select("digest", "doc_id").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
 
 
 def build_filters(frequent: DataFrame) -> DataFrame:
-    """(shard, filter): the cuckoo filter of each shard's frequent digests."""
+    """(shard, filter): the cuckoo filter of each shard's frequent digests, of which a shard holds a bounded number."""
 
     def build(group: pa.Table) -> pa.Table:
         made = CuckooFilter.of(group.column("digest").to_pylist())
@@ -213,17 +235,19 @@ def rewrite(documents: DataFrame, lost: DataFrame, min_chars: int = MIN_CHARS) -
     """``documents`` with ``kept`` (the text without its lost lines), ``n_lines``, ``n_dropped`` and ``kept_sha256``; other columns stay."""
     bound_batches(documents.sparkSession)
     made_names = ("kept", "n_lines", "n_dropped", "kept_sha256")
-    if clash := {c.lower() for c in documents.columns} & {*made_names, "digests"}:
+    if clash := {c.lower() for c in documents.columns} & set(made_names):
         raise ValueError(f"columns exist already: {sorted(clash)}")
-    given = [c for c in documents.columns if c != "text"]
-    joined = documents.select(*given, text_of().alias("text")).join(lost.select(F.col("doc_id").alias("__of"), "digests"), F.col("doc_id") == F.col("__of"), "left").select(*given, "text", "digests")
+    given, of, lines_gone = [c for c in documents.columns if c != "text"], free_name(documents, "__of"), free_name(documents, "__digests")
+    quoted = [F.col(f"`{c}`") for c in given]
+    keyed = lost.select(F.col("doc_id").alias(of), F.col("digests").alias(lines_gone))
+    joined = documents.select(*quoted, text_of().alias("text")).join(keyed, F.col("doc_id") == F.col(of), "left").select(*quoted, "text", lines_gone)
     schema = [f for f in documents.schema.fields if f.name != "text"]
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
             kept, lines, dropped, shas = [], [], [], []
-            for text, gone in zip(_texts(batch.column("text")), batch.column("digests").to_pylist()):
+            for text, gone in zip(_texts(batch.column("text")), batch.column(lines_gone).to_pylist()):
                 parts, n_dropped = text.split(b"\n"), 0
                 n_lines = len(parts)
                 if gone:
@@ -246,78 +270,117 @@ def dedup_lines(documents: DataFrame, min_docs: int = MIN_DOCS, min_chars: int =
     """Inserts all ``documents`` into an empty index and resolves their lines; see ``rewrite`` for the columns."""
     rows = postings(documents, min_chars)
     frequent = written(reference_counts(rows).where(F.col("n_docs") >= min_docs), "frequent-lines")
-    return rewrite(documents, losing_lines(rows, frequent, build_filters(frequent)), min_chars)
+    shards = max(SHARDS, -(-frequent.count() // SHARD_DIGESTS))  # they follow the data
+    frequent = sharded(frequent, shards)
+    return rewrite(documents, losing_lines(sharded(rows, shards), frequent, build_filters(frequent)), min_chars)
 
 
 class LineIndex:
-    """The incremental state in a folder that all executors share; each change writes a new version, so it can be repeated or undone."""
+    """The incremental state in a folder that all executors share.
+
+    Each change writes what it changes, as a version of its own: postings that are added, documents that are removed, the new counts of
+    the digests concerned, the filters of the shards concerned. Reading a version takes the newest of each up to
+    it, so a change can be repeated or undone; ``compact`` begins a new folder. ``shards`` is fixed for a folder.
+    """
 
-    def __init__(self, spark, path: str, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, version: int = -1):
-        self.spark, self.path, self.min_docs, self.min_chars, self.version = spark, path, min_docs, min_chars, version
+    TABLES = {"postings": "shard int, digest binary, doc_id long", "removed": "doc_id long", "counts": "shard int, digest binary, n_docs long, max_doc long", "filters": "shard int, filter binary"}
 
-    def _read(self, what: str, schema: str) -> DataFrame:
+    def __init__(self, spark, path: str, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, version: int = -1, shards: int = SHARDS):
+        self.spark, self.path, self.min_docs, self.min_chars, self.version, self.shards = spark, path, min_docs, min_chars, version, shards
+
+    def _read(self, what: str) -> DataFrame:
+        """All rows of versions up to this one, with ``version``."""
+        schema = f"{self.TABLES[what]}, version int"
         if self.version < 0:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{self.version}/{what}")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{what}").where(F.col("version") <= self.version)
+
+    def _write(self, what: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{what}/version={self.version}")
 
     @property
     def postings(self) -> DataFrame:
-        return self._read("postings", "shard int, digest binary, doc_id long")
+        removed = self._read("removed").groupBy(F.col("doc_id").alias("gone")).agg(F.max("version").alias("until"))
+        rows = self._read("postings").join(removed, F.col("doc_id") == F.col("gone"), "left")
+        return rows.where(F.col("until").isNull() | (F.col("until") < F.col("version"))).select("shard", "digest", "doc_id")
 
     @property
     def counts(self) -> DataFrame:
-        return self._read("counts", "shard int, digest binary, n_docs long, max_doc long")
+        newest = self._read("counts").groupBy("shard", "digest").agg(F.max(F.struct("version", "n_docs", "max_doc")).alias("c"))
+        return newest.where("c.n_docs > 0").select("shard", "digest", "c.n_docs", "c.max_doc")
 
     @property
     def filters(self) -> DataFrame:
-        return self._read("filters", "shard int, filter binary")
-
-    def _next(self, rows: DataFrame, changed: DataFrame) -> LineIndex:
-        """Writes the next version: counts of the ``changed`` digests are made anew, the others stay; filters take and forget what crossed the threshold."""
-        after = LineIndex(self.spark, self.path, self.min_docs, self.min_chars, self.version + 1)
-        at = f"{self.path}/{after.version}"
-        rows.write.mode("overwrite").parquet(f"{at}/postings")
-        digests = changed.select("digest").distinct()
-        new = reference_counts(after.postings.join(digests, "digest", "left_semi"))
-        self.counts.join(digests, "digest", "left_anti").unionByName(new).write.mode("overwrite").parquet(f"{at}/counts")
-        was = self.counts.where(F.col("n_docs") >= self.min_docs).join(digests, "digest", "left_semi").select("shard", "digest")
-        now = after.counts.where(F.col("n_docs") >= self.min_docs)
-        touched = now.join(digests, "digest", "left_semi").select("shard", "digest")
-        entering, leaving = touched.join(was, "digest", "left_anti"), was.join(touched, "digest", "left_anti")
-        edits = entering.withColumn("enters", F.lit(True)).unionByName(leaving.withColumn("enters", F.lit(False)))
+        newest = self._read("filters").groupBy("shard").agg(F.max(F.struct("version", "filter")).alias("f"))
+        return newest.select("shard", "f.filter")
+
+    def _next(self) -> LineIndex:
+        return LineIndex(self.spark, self.path, self.min_docs, self.min_chars, self.version + 1, self.shards)
+
+    def _change(self, added: DataFrame, removed: DataFrame, changed: DataFrame) -> LineIndex:
+        """Writes the next version. ``changed`` has the new counts (digest, n_docs, max_doc; 0 where none is left) of the digests concerned."""
+        after = self._next()
+        after._write("postings", sharded(added, self.shards).select("shard", "digest", "doc_id"))
+        after._write("removed", removed)
+        before = self.counts.select("digest", F.col("n_docs").alias("was"))
+        counted = written(sharded(changed, self.shards).join(before, "digest", "left"), "line-changes")
+        after._write("counts", counted.select("shard", "digest", "n_docs", "max_doc"))
+        often = lambda c: F.coalesce(F.col(c), F.lit(0)) >= self.min_docs
+        edits = counted.where(often("n_docs") != often("was")).select("shard", "digest", often("n_docs").alias("enters"))
 
         def edit(key, old: pa.Table, changes: pa.Table) -> pa.Table:
+            schema = {"shard": pa.int32(), "filter": pa.binary()}
+            if not changes.num_rows:  # nothing of this shard changes
+                return pa.table({name: pa.array([], kind) for name, kind in schema.items()})
             known = CuckooFilter.loads(old.column("filter")[0].as_py()) if old.num_rows else None
             digests, enters = changes.column("digest").to_pylist(), changes.column("enters").to_pylist()
             if known is None:
-                known = CuckooFilter.of([d for d, e in zip(digests, enters) if e])
-                blob = known.dumps()
+                blob = CuckooFilter.of([d for d, e in zip(digests, enters) if e]).dumps()
             else:
                 for d in (d for d, e in zip(digests, enters) if not e):
                     known.remove(d)
                 blob = known.dumps() if all(known.add(d) for d, e in zip(digests, enters) if e) else None
             return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([blob], pa.binary())})
 
-        edited = self.filters.groupBy("shard").cogroup(edits.groupBy("shard")).applyInArrow(edit, "shard int, filter binary")
+        edited = written(self.filters.groupBy("shard").cogroup(edits.groupBy("shard")).applyInArrow(edit, "shard int, filter binary"), "line-filters")
         full = edited.where("filter is null").select("shard")  # shards that outgrew their filter are built anew from the exact table
-        edited.where("filter is not null").unionByName(build_filters(now.join(full, "shard", "left_semi"))).write.mode("overwrite").parquet(f"{at}/filters")
+        often_now = after.counts.where(F.col("n_docs") >= self.min_docs).join(full, "shard", "left_semi")
+        after._write("filters", edited.where("filter is not null").unionByName(build_filters(often_now)))
         return after
 
     def insert(self, documents: DataFrame) -> LineIndex:
         """Documents whose doc_id is there already are left as they are."""
-        fresh = documents.join(self.postings.select("doc_id").distinct(), "doc_id", "left_anti")
-        rows = postings(fresh, self.min_chars)
-        return self._next(self.postings.unionByName(rows), rows)
+        known = self.postings
+        fresh = documents.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
+        rows = postings(fresh, self.min_chars).distinct()
+        nameless = known.where("doc_id IS NULL").select(F.col("digest").alias("known")).distinct()  # rows without id are one document
+        rows = written(rows.join(nameless, rows.doc_id.isNull() & (rows.digest == F.col("known")), "left_anti"), "line-postings")
+        more = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("more"), F.max("doc_id").alias("top"))
+        old = self.counts.select("digest", "n_docs", "max_doc")
+        changed = more.join(old, "digest", "left").select("digest", (F.coalesce("n_docs", F.lit(0)) + F.col("more")).alias("n_docs"), F.greatest("max_doc", "top").alias("max_doc"))
+        return self._change(rows, self.spark.createDataFrame([], self.TABLES["removed"]), changed)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """``doc_ids`` has a column doc_id."""
-        ids = doc_ids.select("doc_id").distinct()
-        return self._next(self.postings.join(ids, "doc_id", "left_anti").select("shard", "digest", "doc_id"), self.postings.join(ids, "doc_id", "left_semi"))
+        ids = written(doc_ids.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").distinct(), "line-removed")
+        known = self.postings
+        concerned = written(known.join(ids, "doc_id", "left_semi").select("digest").distinct(), "line-concerned")
+        left = reference_counts(known.join(ids, "doc_id", "left_anti").join(concerned, "digest", "left_semi"))
+        changed = concerned.join(left, "digest", "left").select("digest", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "max_doc")
+        return self._change(self.spark.createDataFrame([], "digest binary, doc_id long"), ids, changed)
+
+    def compact(self, path: str) -> LineIndex:
+        """The same state as the first version of another folder."""
+        after = LineIndex(self.spark, path, self.min_docs, self.min_chars, 0, self.shards)
+        for what in ("postings", "counts", "filters"):
+            after._write(what, getattr(self, what))
+        after._write("removed", self.spark.createDataFrame([], self.TABLES["removed"]))
+        return after
 
     def resolve(self, documents: DataFrame) -> DataFrame:
         """``documents`` without the lines that the index holds as repeated; see ``rewrite``."""
         frequent = self.counts.where(F.col("n_docs") >= self.min_docs)
-        return rewrite(documents, losing_lines(postings(documents, self.min_chars), frequent, self.filters), self.min_chars)
+        return rewrite(documents, losing_lines(sharded(postings(documents, self.min_chars), self.shards), frequent, self.filters), self.min_chars)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
