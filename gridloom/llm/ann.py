@@ -1,22 +1,26 @@
 """Approximate nearest neighbours over learned partitions.
 
-On a bounded sample (SAMPLE vectors of least hash) the exact neighbour graph is built and cut
-into PARTS balanced parts: capacity-bound seeding, then rounds that move vectors to the part that
+The parts are about BLOCK vectors each, PARTS[0] to PARTS[1] of them. On a bounded sample (EACH vectors
+a part and SAMPLE[0] at least, SAMPLE[1] at most, those of least hash) the exact neighbour graph is built and cut
+into balanced parts: capacity-bound seeding, then rounds that move vectors to the part that
 holds most of their graph neighbours while parts stay within SLACK of equal size. A small classifier (one hidden
-layer, numpy) learns to tell the part from the vector. Every vector is indexed under its most
-probable part; a query looks into its ``probes`` most probable parts, and all vectors there are
-reranked by exact Euclidean distance in double precision.
+layer, numpy) learns to tell the part from the vector, from three quarters of the sample; on the last quarter it is measured in
+how many of its most probable parts a query finds RECALL of its true neighbours, and so many are probed: few where
+vectors lie in clusters, most of them where they don't. Every vector is indexed under its most probable part, and all
+vectors of the probed parts are reranked by exact Euclidean distance in double precision.
 
-Candidates and queries meet in packed blocks of bounded size (an equi-join on the part), so that a part
-that holds a third of all vectors is many blocks, and no task holds more than one pair of blocks.
+Candidates and queries meet in packed blocks of bounded size, by an equi-join on part and block of candidates: a part
+that holds a third of all vectors is many blocks in as many tasks, each of which holds one pair of blocks at a time.
 
 Cases: vectors that are null, zero, of another length than the usual one, or hold null or non-finite components take no part; ties
-go to the smaller vec_id; equal vectors are ordinary neighbours of each other; a repeated vec_id is no
-neighbour of itself; with fewer than 10 candidates all found are returned; no rows give no rows; extra columns aren't read.
+go to the smaller vec_id; equal vectors are ordinary neighbours of each other; rows that repeat a vec_id are no neighbours of
+each other, those with an equal vector are one row, and those with another vector are queries (with an answer each) and
+candidates of their own; with fewer than 10 candidates all found are returned; no rows give no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bound_batches, spread, table, written
+from gridloom.llm.common import bound_batches, table, written
 
-#: The fit's sample, its graph's degree, the parts, and how far above equal size a part may grow.
-SAMPLE, DEGREE, PARTS, SLACK = 4096, 16, 16, 1.1
+#: The fit's sample, at least and at most, and for each part; its graph's degree.
+SAMPLE, EACH, DEGREE = (4096, 32_768), 64, 16
+#: The parts, at least and at most, and how far above equal size a part may grow.
+PARTS, SLACK = (16, 512), 1.1
 HIDDEN, EPOCHS = 96, 40
-PROBES = 13
 NEIGHBOURS = 10
+#: The share of true neighbours that the probed parts must hold on the sample's last quarter.
+RECALL = 0.94
 #: Vectors of a packed block of candidates, and of queries.
 BLOCK, QUERY_BLOCK = 4096, 512
 #: Queries: ids divisible by this.
@@ -138,12 +145,40 @@ def learn(x: np.ndarray, part: np.ndarray, graph: np.ndarray, parts: int, rng: n
     return Router(mean.astype(np.float32), scale, *w)
 
 
-def fit_router(x: np.ndarray, parts: int = PARTS, seed: int = 5) -> Router:
+def fit_router(x: np.ndarray, parts: int, seed: int = 5, recall: float = RECALL) -> tuple[Router, int]:
+    """The router, and how many parts a query must look into."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
     parts = max(1, min(parts, len(x) // 8))
     graph = neighbour_graph(x, DEGREE)
-    return learn(x, balanced_parts(x, graph, parts, rng), graph, parts, rng)
+    part = balanced_parts(x, graph, parts, rng)
+    rest = rng.permutation(len(x))
+    asked, known = rest[: len(x) // 4], np.sort(rest[len(x) // 4 :])
+    at = np.full(len(x), -1)
+    at[known] = np.arange(len(known))
+    among = np.where(at[graph[known]] >= 0, at[graph[known]], np.arange(len(known))[:, None])  # neighbours that aren't known are the vector itself
+    router = learn(x[known], part[known], among, parts, rng)
+    if not len(asked) or parts == 1:
+        return router, parts
+    held = router.top(x, 1)[:, 0]  # where each vector is indexed
+    place = np.empty((len(asked), parts), int)
+    np.put_along_axis(place, router.top(x[asked], parts), np.arange(parts)[None].repeat(len(asked), 0), 1)
+    d = neighbour_graph_of(x, asked)
+    needed = np.take_along_axis(place, held[d], 1)
+    found = np.cumsum(np.bincount(needed.ravel(), minlength=parts)) / needed.size
+    return router, int(np.searchsorted(found, recall) + 1)
+
+
+def neighbour_graph_of(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The NEIGHBOURS nearest others of some rows."""
+    norms, out = (x * x).sum(1), []
+    for lo in range(0, len(rows), 512):
+        some = rows[lo : lo + 512]
+        d = norms[None] - 2 * x[some] @ x.T
+        d[np.arange(len(some)), some] = np.inf
+        k = min(NEIGHBOURS, len(x) - 1)
+        out.append(np.argpartition(d, k - 1, axis=1)[:, :k])
+    return np.concatenate(out)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -158,8 +193,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, probes: int = PROBES, parts: int = PARTS) -> DataFrame:
-    """query_id, rank, vec_id, score: of each row for which ``is_query`` holds, its ``k`` nearest others found."""
+def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, probes: int | None = None, parts: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: of each row for which ``is_query`` (of vec_id) holds, its ``k`` nearest others found. Parts and probes follow the data unless given."""
     spark = vectors.sparkSession
     bound_batches(spark)
     good = usable(vectors)
@@ -168,11 +203,13 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, probes: int = PROB
     schema = "query_id long, rank int, vec_id long, score double"
     if not usual:
         return spark.createDataFrame([], schema)
-    dim = usual[0]["n"]
+    dim, n_rows = usual[0]["n"], usual[0]["count"]
     good = good.where(F.size("embedding") == dim)
-    sample = good.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(SAMPLE).select("embedding").toArrow()
-    router = fit_router(_matrix(sample.column(0).combine_chunks()), parts)
-    probes = min(probes, len(router.b2))
+    parts = parts or min(PARTS[1], max(PARTS[0], n_rows // BLOCK))
+    size = min(SAMPLE[1], max(SAMPLE[0], parts * EACH))
+    sample = good.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id", "embedding").limit(size).select("embedding").toArrow()
+    router, enough = fit_router(_matrix(sample.column(0).combine_chunks()), parts)
+    probes = min(probes or enough, len(router.b2))
 
     def route(n: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,15 +223,15 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, probes: int = PROB
 
     shape = "part int, vec_id long, embedding array<double>"
     index = written(good.mapInArrow(route(1), shape), "ann-index")
-    asked = good.where(is_query).mapInArrow(route(probes), shape)
-
-    def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-        """Blocks of about ``size`` rows of a part."""
-        sizes = rows.groupBy("part").agg((F.count(F.lit(1)) / size + 1).cast("int").alias("blocks"))  # one row a part, PARTS at most
-        cut = rows.join(F.broadcast(sizes), "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
-        return cut.groupBy("part", "block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias(name)).drop("block")
-
-    pairs = packed(index, BLOCK, "candidates").join(packed(asked, QUERY_BLOCK, "queries"), "part")
+    asked = good.where(is_query).dropDuplicates(["vec_id", "embedding"]).mapInArrow(route(probes), shape)
+    blocks = index.groupBy("part").agg((F.count(F.lit(1)) / BLOCK + 1).cast("int").alias("blocks"))  # one row a part, PARTS[1] at most
+    place = F.pmod(F.xxhash64("vec_id", "embedding"), "blocks").cast("int")
+    candidates = index.join(F.broadcast(blocks), "part").withColumn("block", place)
+    queries = asked.join(F.broadcast(blocks), "part").withColumn("some", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)).cast("int"))
+    chunks = asked.groupBy("part").agg((F.count(F.lit(1)) / QUERY_BLOCK + 1).cast("int").alias("chunks"))
+    queries = queries.join(F.broadcast(chunks), "part").withColumn("chunk", F.col("some") % F.col("chunks")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = F.collect_list(F.struct("vec_id", "embedding"))
+    pairs = candidates.groupBy("part", "block").agg(rows.alias("candidates")).join(queries.groupBy("part", "block", "chunk").agg(rows.alias("queries")), ["part", "block"])
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,9 +239,14 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, probes: int = PROB
                 c, q = (batch.column(name)[row].values for name in ("candidates", "queries"))
                 c_ids, q_ids = c.field(0).to_numpy(), q.field(0).to_numpy()
                 cx, qx = _matrix(c.field(1)), _matrix(q.field(1))
+                if len(set(c_ids.tolist())) < len(c_ids):  # equal rows are in one block
+                    once = list({(i, v.tobytes()): at for at, (i, v) in enumerate(zip(c_ids.tolist(), cx))}.values())
+                    c_ids, cx = c_ids[once], cx[once]
+                marks = [hashlib.blake2b(v.tobytes(), digest_size=8).digest() for v in qx]
+                marks = np.frombuffer(b"".join(marks), "<i8")
                 rough = (cx * cx).sum(1)[None] - 2 * qx @ cx.T
                 rough[q_ids[:, None] == c_ids[None]] = np.inf
-                queries, found, scores = [], [], []
+                queries, of, found, scores = [], [], [], []
                 for i, line in enumerate(rough):
                     if len(line) > k:
                         edge = np.partition(line, k - 1)[k - 1]
@@ -215,13 +257,14 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, probes: int = PROB
                     exact = np.sqrt(((cx[near] - qx[i]) ** 2).sum(1))
                     best = np.lexsort((c_ids[near], exact))[:k]
                     queries.append(np.full(len(best), q_ids[i]))
+                    of.append(np.full(len(best), marks[i]))
                     found.append(c_ids[near][best])
                     scores.append(exact[best])
                 if queries:
-                    yield pa.record_batch([pa.array(np.concatenate(a)) for a in (queries, found, scores)], ["query_id", "vec_id", "score"])
+                    yield pa.record_batch([pa.array(np.concatenate(a)) for a in (queries, of, found, scores)], ["query_id", "of", "vec_id", "score"])
 
-    found = pairs.select("candidates", "queries").mapInArrow(rerank, "query_id long, vec_id long, score double")
-    nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = pairs.select("candidates", "queries").mapInArrow(rerank, "query_id long, of long, vec_id long, score double")
+    nearest = Window.partitionBy("query_id", "of").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
