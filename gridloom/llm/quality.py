@@ -6,7 +6,8 @@ a chunk is the maximum of each filter after a ReLU. The chunks of a document are
 and combined into one probability by a logistic layer.
 
 The network is fitted on the driver on a bounded sample of labelled rows (TRAIN_ROWS of
-each label, those of least hash), with label noise in mind: few epochs, weight decay, classes weighed
+each label, those of least hash, with TRAIN_CHUNKS chunks of each at most: of longer texts, executors
+draw those by hash from the whole text), with label noise in mind: few epochs, weight decay, classes weighed
 equally. Scoring then runs over whole texts, batch by batch, with a model of a few kilobytes.
 
 Cases: null and empty texts are one chunk of padding and get the score that it has; labels that are
@@ -16,6 +17,7 @@ label; without labels of both kinds every score is the share of label 1, or 0.5;
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +33,8 @@ from gridloom.llm.common import bound_batches, forget, table, text_of
 CHUNK, OVERLAP = 512, 64
 #: Filters of WIDTH bytes at a stride of WIDTH / 2, over embeddings of DEPTH numbers a byte.
 WIDTH, DEPTH, FILTERS = 16, 6, 24
-#: Labelled rows that the fit takes of each label at most; it takes their whole texts.
-TRAIN_ROWS = 1500
+#: Labelled rows that the fit takes of each label at most, and chunks of each row. Together they bound what the driver holds: 2 * 1500 * 96 * 512 bytes.
+TRAIN_ROWS, TRAIN_CHUNKS = 1500, 96
 #: Chunks that a step of the fit holds the intermediate results of at once.
 SLICE = 4096
 EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.01, 1e-4
@@ -89,18 +91,26 @@ def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
-def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11, epochs: int = EPOCHS) -> Network:
-    """Adam on the cross entropy, classes weighed equally; the same sample gives the same network."""
+def drawn(text: bytes, most: int = TRAIN_CHUNKS) -> np.ndarray:
+    """The text's chunks, or ``most`` of them, drawn by hash from all of it and in its order."""
+    chunks, _ = chunks_of([text])
+    if len(chunks) <= most:
+        return chunks
+    marks = [hashlib.blake2b(k.to_bytes(8, "little") + c.tobytes(), digest_size=8).digest() for k, c in enumerate(chunks)]
+    return chunks[sorted(sorted(range(len(chunks)), key=marks.__getitem__)[:most])]
+
+
+def fit(chunks: np.ndarray, counts: np.ndarray, labels: np.ndarray, seed: int = 11, epochs: int = EPOCHS) -> Network:
+    """Adam on the cross entropy, classes weighed equally; the same sample (chunks, how many each text has, labels) gives the same network."""
     rng = np.random.default_rng(seed)
     net = Network.fresh(rng)
     half = WIDTH // 2
-    chunks, counts = chunks_of(texts)
     starts = np.cumsum(counts) - counts
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
     names = ("embed", "first", "second", "bias", "out", "out_bias")
     m, v, step = {k: 0.0 for k in names}, {k: 0.0 for k in names}, 0
     for epoch in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(counts))
         for lo in range(0, len(order), BATCH):
             docs = order[lo : lo + BATCH]
             own = np.repeat(np.arange(len(docs)), counts[docs])
@@ -143,14 +153,24 @@ def held_out():
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def sample(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[bytes], np.ndarray]:
-    """The bounded training sample: of each label the ``rows`` rows of least hash that aren't held out."""
+def sample(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_CHUNKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bounded training sample (chunks, how many each text has, labels): of each label the ``rows`` rows of least hash that aren't held out."""
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     ranked = known.withColumn("hash", F.md5(F.col("doc_id").cast("string")))
     chosen = ranked.where("quality = 0").orderBy("hash").limit(rows).unionByName(ranked.where("quality = 1").orderBy("hash").limit(rows))
     texts = documents.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * rows rows
-    taken = texts.select("hash", "quality", F.encode("text", "UTF-8").alias("data")).orderBy("hash", "data").limit(2 * rows).collect()
-    return [bytes(r.data) for r in taken], np.array([r.quality for r in taken], np.int64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            made = [drawn(t or b"", most).tobytes() for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["hash", "quality", "chunks"])
+
+    some = texts.select("hash", F.col("quality").cast("int"), "text").mapInArrow(cut, "hash string, quality int, chunks binary")
+    taken = some.orderBy("hash", "chunks").limit(2 * rows).toArrow()
+    flat = np.frombuffer(b"".join(taken.column("chunks").to_pylist()), np.uint8).reshape(-1, CHUNK)
+    counts = np.array([len(c) // CHUNK for c in taken.column("chunks").to_pylist()], np.int64)
+    return flat, counts, np.array(taken.column("quality").to_pylist(), np.int64)
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -158,10 +178,10 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     bound_batches(documents.sparkSession)
     if "score" in {c.lower() for c in documents.columns}:
         raise ValueError("column exists already: score")
-    texts, marks = sample(documents, labels)
+    chunks, counts, marks = sample(documents, labels)
     if len(set(marks.tolist())) < 2:
         return documents.withColumn("score", F.lit(float(marks.mean()) if len(marks) else 0.5))
-    net, at = fit(texts, marks), documents.columns.index("text")
+    net, at = fit(chunks, counts, marks), documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
