@@ -8,7 +8,8 @@ shard permutes again. Which rows meet in a shard is as likely as any other choic
 and shard sizes are exact: at most one apart.
 
 Cases: no rows give no rows; null ids or sizes are ordinary values; equal rows are
-interchangeable; all input columns stay, and new columns that would clash are refused.
+interchangeable, and where there are very many of them they are numbered first and spread like others; all input
+columns stay, whatever their names, but ``shard`` and ``slot`` are refused.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ import json
 import math
 import random
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import spread, table, text_of
+from gridloom.llm.common import HOT_ROWS, free_name, hot_keys, table, text_of, written
 
-#: Logical blocks. The matrix of BLOCKS x shards counts is all that reaches the driver.
-BLOCKS = 512
-#: Sub-blocks of a shard in which the second permutation sorts.
-CELLS = 256
+#: Logical blocks, and cells of a shard in which the second permutation sorts, at least; rows of each on average, at most, as long as there
+#: are no more than MOST of them. The matrix of blocks x shards counts is all that reaches the driver.
+BLOCKS, CELLS, BLOCK_ROWS, MOST = 512, 256, 4_000_000, 8192
 SHARDS = 16
 #: Beyond this many standard deviations a hypergeometric mass is below 1e-30.
 REACH = 12
@@ -43,21 +44,12 @@ def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
     reach = int(REACH * deviation) + 30
     low, high = max(low, mode - reach), min(high, mode + reach)
     # masses relative to that of the mode, by the ratio of neighbours
-    up, mass = [], 1.0
-    for k in range(mode, high):
-        mass *= (good - k) * (drawn - k) / ((k + 1) * (bad - drawn + k + 1))
-        up.append(mass)
-    down, mass = [], 1.0
-    for k in range(mode, low, -1):
-        mass *= k * (bad - drawn + k) / ((good - k + 1) * (drawn - k + 1))
-        down.append(mass)
-    masses = [*reversed(down), 1.0, *up]
-    left = rng.random() * math.fsum(masses)
-    for k, mass in enumerate(masses, mode - len(down)):
-        left -= mass
-        if left < 0:
-            return k
-    return mode
+    k = np.arange(mode, high, dtype=float)
+    up = np.cumprod((good - k) * (drawn - k) / ((k + 1) * (bad - drawn + k + 1)))
+    k = np.arange(mode, low, -1, dtype=float)
+    down = np.cumprod(k * (bad - drawn + k) / ((good - k + 1) * (drawn - k + 1)))
+    ends = np.cumsum(np.concatenate([down[::-1], [1.0], up]))
+    return mode - len(down) + min(int(np.searchsorted(ends, rng.random() * ends[-1], side="right")), len(ends) - 1)
 
 
 def communication_matrix(rows: list[int], shards: list[int], seed: int) -> list[list[int]]:
@@ -76,19 +68,60 @@ def communication_matrix(rows: list[int], shards: list[int], seed: int) -> list[
     return matrix
 
 
-def shuffle_to_shards(df: DataFrame, by: list[str], shards: int = SHARDS, seed: int = 7, blocks: int = BLOCKS, cells: int = CELLS) -> DataFrame:
+def _follows(rows: int, least: int) -> int:
+    """Blocks or cells for so many rows: ``least``, and more where they would be too large, but MOST at most."""
+    return min(MOST, max(least, rows // BLOCK_ROWS))
+
+
+def _numbered(df: DataFrame, by: list[str], hot: DataFrame, nr: str) -> DataFrame:
+    """``df`` with ``nr``: 0, but for rows equal in ``by`` that are ``hot`` the numbers from 0, of which it doesn't matter which is whose.
+
+    Rows are numbered within the partitions of a written table, so that no task sees all equal rows.
+    """
+    key, place, row = (free_name(df, name) for name in ("__key", "__place", "__row"))
+    kept = written(df.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in by])).join(F.broadcast(hot.withColumnRenamed("__hot", row)), F.col(key) == F.col(row), "left").withColumn(place, F.monotonically_increasing_id()), "shard-rows")
+    inner = Window.partitionBy(key, f"{place}s").orderBy(place)
+    equal = kept.where(F.col(row).isNotNull()).withColumn(f"{place}s", F.shiftright(place, 33))
+    sizes = equal.groupBy(F.col(key).alias(f"{key}2"), F.col(f"{place}s").alias("p")).agg(F.count(F.lit(1)).alias("k"))
+    starts = sizes.select(f"{key}2", "p", (F.sum("k").over(Window.partitionBy(f"{key}2").orderBy("p")) - F.col("k")).alias("start"))
+    starts = starts.select(F.col(f"{key}2").alias(f"{key}_"), F.col("p").alias(f"{place}_"), F.col("start").alias(f"{nr}_"))
+    equal = equal.withColumn(nr, F.row_number().over(inner) - 1).join(starts, (F.col(key) == F.col(f"{key}_")) & (F.col(f"{place}s") == F.col(f"{place}_")))
+    equal = equal.withColumn(nr, (F.col(nr) + F.col(f"{nr}_")).cast("long"))
+    given = [F.col(f"`{c}`") for c in df.columns]
+    return equal.select(*given, nr).unionByName(kept.where(F.col(row).isNull()).select(*given, F.lit(0).cast("long").alias(nr)))
+
+
+def shuffle_to_shards(df: DataFrame, by: list[str], shards: int = SHARDS, seed: int = 7, blocks: int | None = None, cells: int | None = None) -> DataFrame:
     """``df`` with ``shard`` (0 to shards-1, sizes at most one apart) and ``slot`` (gapless from 0 in each shard).
 
-    ``by`` names the columns whose hash stands for the randomness; rows equal in all of them are ordered arbitrarily.
+    ``by`` names the columns whose hash stands for the randomness; rows equal in all of them are interchangeable.
     """
     if clash := {"shard", "slot"} & {c.lower() for c in df.columns}:
         raise ValueError(f"columns exist already: {sorted(clash)}")
     spark = df.sparkSession
-    block, cell, at = "__block", "__cell", "__at"
-    blocked = df.withColumn(block, spread(*by, buckets=blocks, seed=seed))
-    counts = {r[block]: r["count"] for r in blocked.groupBy(block).count().collect()}  # at most ``blocks`` rows
-    rows, n = [counts.get(b, 0) for b in range(blocks)], sum(counts.values())
-    matrix = communication_matrix(rows, [n // shards + (s < n % shards) for s in range(shards)], seed)
+    block, cell, at, last, first, nr = (free_name(df, name) for name in ("__block", "__cell", "__at", "__ends", "__start", "__nr"))
+    columns = [F.col(f"`{c}`") for c in by]
+
+    def mark(salt: int):
+        """A hash of ``by``; rows that are numbered get one each."""
+        return F.when(F.col(nr) == 0, F.xxhash64(F.lit(salt), *columns)).otherwise(F.xxhash64(F.lit(salt), *columns, F.col(nr)))
+
+    def counted(rows: DataFrame, n_blocks: int) -> dict:
+        return {r[block]: r["count"] for r in rows.groupBy(F.pmod(mark(seed), F.lit(n_blocks)).cast("int").alias(block)).count().collect()}  # at most ``n_blocks`` rows
+
+    numbered = df.withColumn(nr, F.lit(0).cast("long"))
+    counts = counted(numbered, blocks or BLOCKS)
+    n = sum(counts.values())
+    many, ordinary = blocks or _follows(n, BLOCKS), 2 * n // (blocks or BLOCKS) + HOT_ROWS
+    crowded = [b for b, k in counts.items() if k > ordinary]
+    if crowded:  # rows that are equal in ``by``, many times over
+        key = free_name(df, "__key")
+        some = numbered.where(F.pmod(mark(seed), F.lit(blocks or BLOCKS)).cast("int").isin(crowded)).select(F.xxhash64(*columns).alias(key))
+        numbered = _numbered(df, by, hot_keys(some, key), nr)
+    if crowded or many != (blocks or BLOCKS):
+        counts = counted(numbered, many)
+    blocked = numbered.withColumn(block, F.pmod(mark(seed), F.lit(many)).cast("int"))
+    matrix = communication_matrix([counts.get(b, 0) for b in range(many)], [n // shards + (s < n % shards) for s in range(shards)], seed)
     cuts = []
     for b, line in enumerate(matrix):
         ends, reached = [], 0
@@ -96,20 +129,20 @@ def shuffle_to_shards(df: DataFrame, by: list[str], shards: int = SHARDS, seed:
             reached += k
             ends.append(reached)
         cuts.append({"b": b, "ends": ends})
-    plan = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(cuts)), "array<struct<b:int,ends:array<bigint>>>")).alias("p")).select(F.col("p.b").alias(block), F.col("p.ends").alias("__ends"))
-    local = Window.partitionBy(block).orderBy(F.xxhash64(F.lit(seed + 1), *by), *by)
+    plan = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(cuts)), "array<struct<b:int,ends:array<bigint>>>")).alias("p")).select(F.col("p.b").alias(block), F.col("p.ends").alias(last))
+    local = Window.partitionBy(block).orderBy(mark(seed + 1), *columns, nr)
     sent = (
         blocked.withColumn(at, F.row_number().over(local))
-        .join(F.broadcast(plan), block)  # ``blocks`` rows, a parameter
-        .withColumn("shard", F.size(F.filter("__ends", lambda end: end < F.col(at))))
-        .withColumn(cell, spread(*by, buckets=cells, seed=seed + 2))
-        .drop(block, at, "__ends")
+        .join(F.broadcast(plan), block)  # ``many`` rows, MOST at most
+        .withColumn("shard", F.size(F.filter(last, lambda end: end < F.col(at))))
+        .withColumn(cell, F.pmod(mark(seed + 2), F.lit(cells or _follows(n // shards, CELLS))).cast("int"))
+        .drop(block, at, last)
     )
     # the second permutation: cells of each shard in order, rows of each cell by another hash
     sizes = sent.groupBy("shard", cell).count()  # at most shards x cells rows
-    starts = sizes.select("shard", cell, (F.sum("count").over(Window.partitionBy("shard").orderBy(cell)) - F.col("count")).alias("__start"))
-    inner = Window.partitionBy("shard", cell).orderBy(F.xxhash64(F.lit(seed + 3), *by), *by)
-    return sent.withColumn(at, F.row_number().over(inner)).join(F.broadcast(starts), ["shard", cell]).withColumn("slot", (F.col("__start") + F.col(at) - 1).cast("long")).drop(cell, at, "__start")
+    starts = sizes.select("shard", cell, (F.sum("count").over(Window.partitionBy("shard").orderBy(cell)) - F.col("count")).alias(first))
+    inner = Window.partitionBy("shard", cell).orderBy(mark(seed + 3), *columns, nr)
+    return sent.withColumn(at, F.row_number().over(inner)).join(F.broadcast(starts), ["shard", cell]).withColumn("slot", (F.col(first) + F.col(at) - 1).cast("long")).select(*[F.col(f"`{c}`") for c in df.columns], "shard", "slot")
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
