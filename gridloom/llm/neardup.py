@@ -15,13 +15,17 @@ similarity. Points are made in ascending order and end at the signature's greate
 Banding. BANDS bands of ROWS components; at 0.8 all bands miss with probability below 1e-4.
 
 Links. Equal multisets are one class first, so copies cost nothing. In each bucket every class
-is verified against the bucket's least one; the links make components; buckets that still
-hold several components get the pairs across components verified too. Pairs that are in one component
-already need no check, so no link between components is lost and no bucket emits all its pairs.
+is verified against the bucket's least one; the links make components. Buckets that still hold several components
+may hide links between them (and many hold documents that merely share a passage); their classes are joined by an
+exact prefix filter instead of in pairs: with shingles in one order for all, rarest first, two multisets of similarity
+SIMILAR share a shingle in the first parts of their weights of which the rest is under SIMILAR of the whole. So only classes that share
+such a rare shingle, are of different components, of similar sizes, and have enough weight from there on, are
+verified: no link is lost, and no bucket emits its pairs. How rare a shingle is comes from counts in a table of
+fixed size; collisions there cost time, never a link.
 
 Cases: null texts are empty; documents without words are one class; ties in a group go to the least doc_id; rows
 that repeat a doc_id with another text are two members of that id; null doc_ids stand for the least
-possible id and come back as null; no rows give no rows; extra columns stay in ``drop_near_duplicates``.
+possible id and come back as null; no rows give no rows; extra columns stay in ``drop_near_duplicates``, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bound_batches, forget, skew_join, spread, table, text_of, worker_state, written
+from gridloom.llm.common import bound_batches, discard, forget, free_name, hot_keys, salted, skew_join, spread, table, text_of, worker_state, written
 
 WORDS = 5
 SIMILAR = 0.8
@@ -43,8 +47,8 @@ COMPONENTS = BANDS * ROWS
 TOGETHER = 1 << 20
 #: Bits of the fixed-size filter that keeps texts without candidates out of the verifying shuffle.
 FILTER_BITS = 1 << 23
-#: Tasks over which the members of a much-linked class are spread.
-SPLITS = 32
+#: Counters of the table that shingles are ordered by.
+COUNTERS = 1 << 18
 NO_ID = -(1 << 63)
 
 _U = np.uint64
@@ -208,26 +212,28 @@ def _possible(ids: DataFrame) -> DataFrame:
     return ids.select(F.floor(place / 64).cast("int").alias("word"), F.expr("shiftleft(1L, 0)").alias("one"), (place % 64).alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(one, bit))").alias("bits"))
 
 
+def texts_of(ids: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, text) of rows of ``documents`` that include those of the distinct ``ids`` (a bitmap keeps most others out, so that their texts aren't shuffled)."""
+    place = spread("id", buckets=FILTER_BITS, seed=9)
+    texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_of().alias("text")).withColumn("word", F.floor(place / 64).cast("int"))
+    may = F.expr(f"(shiftright(bits, CAST(pmod(xxhash64(9, id), {FILTER_BITS}) % 64 AS INT)) & 1) = 1")
+    return texts.join(F.broadcast(_possible(ids)), "word").where(may).select("id", "text")
+
+
 def verify(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids whose texts' similarity is SIMILAR or more.
 
-    Each pair sends the text of b to where that of a is; the members of an a with many pairs are spread over SPLITS tasks, each
+    Each pair sends the text of b to where that of a is; the members of a hot a are spread over salts, each
     of which gets a's text first. A task holds one text's shingles and those of the batch's members in turn.
     """
     bound_batches(documents.sparkSession)
-    sent = pairs.select("a", "b", spread("b", buckets=SPLITS, seed=5).alias("split"))
-    few = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).select(F.col("a").alias("__a"), "k")
-    sent = written(sent.join(few, F.col("a") == F.col("__a")).withColumn("split", F.when(F.col("k") > 1000, F.col("split")).otherwise(0)).select("a", "b", "split"), "near-pairs")
+    sent = written(salted(pairs.select("a", "b"), "a", hot_keys(pairs, "a"), "split", "left"), "near-pairs")
     wanted = sent.select("a", F.col("b").alias("id"), "split", F.lit(1).alias("kind")).unionByName(sent.select("a", F.col("a").alias("id"), "split", F.lit(0).alias("kind")).distinct())
-    place = spread("id", buckets=FILTER_BITS, seed=9)
-    texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_of().alias("text")).withColumn("word", F.floor(place / 64).cast("int"))
-    known = _possible(wanted.select("id"))
-    texts = texts.join(F.broadcast(known), "word").where(F.expr("(shiftright(bits, CAST(pmod(xxhash64(9, id), 8388608) % 64 AS INT)) & 1) = 1")).select("id", "text")
-    rows = wanted.join(texts, "id").select("a", "split", "kind", F.col("id").alias("b"), "text").repartition("a", "split").sortWithinPartitions("a", "split", "kind", "b")
+    rows = wanted.join(texts_of(wanted.select("id"), documents), "id").select("a", "split", "kind", F.col("id").alias("b"), "text").repartition("a", "split").sortWithinPartitions("a", "split", "kind", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        at, own = None, None
+        at, own = None, []  # own: one, or more where rows repeat a doc_id
         for batch in batches:
             firsts, splits, kinds, seconds = (batch.column(k).to_pylist() for k in range(4))
             texts = batch.column(4).cast(pa.binary()).to_pylist()
@@ -238,25 +244,89 @@ def verify(pairs: DataFrame, documents: DataFrame) -> DataFrame:
                 for k in range(lo, hi):
                     s = slice(edges[k - lo], edges[k - lo + 1])
                     if kinds[k] == 0:
-                        at, own = (firsts[k], splits[k]), (made[s], weight[s], int(weight[s].sum()))
+                        if (firsts[k], splits[k]) != at:
+                            at, own = (firsts[k], splits[k]), []
+                        own.append((made[s], weight[s], int(weight[s].sum())))
                         continue
                     if (firsts[k], splits[k]) != at:
                         raise ValueError("a pair came before its first text")
-                    _, i, j = np.intersect1d(own[0], made[s], assume_unique=True, return_indices=True)
-                    common = int(np.minimum(own[1][i], weight[s][j]).sum())
-                    if common and common >= SIMILAR * (own[2] + int(weight[s].sum()) - common) - 1e-9:
-                        out_a.append(firsts[k])
-                        out_b.append(seconds[k])
+                    for mine, weights, whole in own:
+                        _, i, j = np.intersect1d(mine, made[s], assume_unique=True, return_indices=True)
+                        common = int(np.minimum(weights[i], weight[s][j]).sum())
+                        if common and common >= SIMILAR * (whole + int(weight[s].sum()) - common) - 1e-9:
+                            out_a.append(firsts[k])
+                            out_b.append(seconds[k])
+                            break
             yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """How many of ``texts`` (id, text) hold shingles of each of COUNTERS slots; COUNTERS numbers reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for lo, hi in _grouped(texts):
+                counts += np.bincount((shingles(texts[lo:hi])[1] % _U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        slots = np.flatnonzero(counts)
+        for lo in range(0, len(slots), 1 << 16):
+            some = slots[lo : lo + (1 << 16)]
+            yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["slot", "n"])
+
+    table_ = texts.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[table_.column("slot").to_numpy()] = table_.column("n").to_numpy()
+    return counts
+
+
+def prefixes(texts: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """(id, shingle, rest): the shingles of each text's prefix, and the weight from each on in the common order."""
+    known = texts.sparkSession.sparkContext.broadcast(np.minimum(rarity, 2**31 - 1).astype(np.int32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            texts, ids = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(0).to_numpy()
+            for lo, hi in _grouped(texts):
+                doc, made, weight = shingles(texts[lo:hi])
+                order = np.lexsort((made, known.value[(made % _U(COUNTERS)).astype(np.int64)], doc))
+                doc, made, weight = doc[order], made[order], weight[order]
+                whole = np.bincount(doc, weights=weight, minlength=hi - lo)
+                before = np.cumsum(weight) - weight
+                first = np.searchsorted(doc, np.arange(hi - lo))
+                rest = whole[doc] - (before - before[np.minimum(first, len(doc) - 1)][doc])
+                keep = rest >= SIMILAR * whole[doc] - 1e-9
+                yield pa.record_batch([pa.array(ids[lo:hi][doc[keep]]), pa.array(made[keep].view(np.int64)), pa.array(rest[keep].astype(np.int64))], ["id", "shingle", "rest"])
+
+    return texts.mapInArrow(run, "id long, shingle long, rest long")
+
+
+def across(open_: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``open_`` (rep, n, component) that can be similar and are in different components."""
+    texts = written(texts_of(open_.select(F.col("rep").alias("id")), documents).join(open_.select(F.col("rep").alias("id")), "id", "left_semi"), "near-open")
+    made = prefixes(texts, _rarity(texts))
+    rows = made.join(open_.withColumnRenamed("rep", "id"), "id").select("shingle", "id", "rest", "n", "component")
+    # a shingle that one component holds alone makes no pairs
+    shared = written(rows, "near-prefixes")
+    met = shared.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle")
+    left = written(shared.join(met, "shingle", "left_semi"), "near-shared")
+    hot = hot_keys(left, "shingle")
+    right = salted(left.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "rest", "n", "component")]), "shingle", hot, "salt", "right")
+    n, n2, rest = F.col("n"), F.col("n2"), F.least("rest", "rest2")
+    likely = (F.col("component") < F.col("component2")) & _similar_sizes(n, n2) & (rest * (1 + SIMILAR) >= SIMILAR * (n + n2) - 1e-9)
+    return salted(left, "shingle", hot, "salt", "left").join(right, ["shingle", "salt"]).where(likely).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component): the least id of each linked id's component, by alternating large-star and small-star steps until nothing changes."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "near-edges")
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
+        """One step, as a table; those that it was made from go."""
         sides = edges.select("u", "v")
         if large:
             sides = sides.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -264,11 +334,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         sides = written(sides, "near-sides")
         met = skew_join(sides, least, "u")
         moved = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        return moved.where("u <> v").distinct()
+        made = written(moved.where("u <> v").distinct(), "near-large" if large else "near-small")
+        discard(sides, edges)
+        return made
 
     state = None
     for _ in range(most_rounds):
-        edges = written(star(written(star(edges, True), "near-large"), False), "near-small")
+        edges = star(star(edges, True), False)
         # the steps end when the edges do: stars, whose sums stay
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
@@ -291,16 +363,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # buckets that still hold several components
     grouped = held.select("band", "rep", "n").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     grouped = written(grouped, "near-grouped")
-    mixed = grouped.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    open_ = grouped.join(mixed, "band")
-    other = open_.select("band", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    across = open_.join(other, "band").where((F.col("component") < F.col("component2")) & _similar_sizes(F.col("n"), F.col("n2")))
-    across = across.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    across = written(across, "near-across")
-    if not across.isEmpty():
-        new = written(verify(across, documents), "near-links")
+    mixed = written(grouped.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band"), "near-mixed")
+    open_ = written(skew_join(grouped, mixed, "band").select("rep", "n", "component").distinct(), "near-open-classes")
+    if not open_.isEmpty():
+        more = written(across(open_, documents).join(pairs, ["a", "b"], "left_anti"), "near-across")
+        new = written(verify(more, documents), "near-links")
         if not new.isEmpty():
             found = components(links.unionByName(new))
+        discard(more, new)
+    discard(buckets, held, pairs, links, grouped, mixed, open_)
     of_class = classes.select("key", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("group"))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return skew_join(signed.select("key", "id", "n"), of_class, "key").select(back("id").alias("doc_id"), back("rep").alias("copy_of"), back("group").alias("class_id"), F.col("n").alias("n_shingles"))
@@ -308,8 +379,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
     """``documents`` with the least doc_id of each group alone; rows that share a doc_id stay or go together."""
-    stay = near_duplicates(documents).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__stays")).distinct()
-    return documents.join(stay, F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi")
+    name = free_name(documents, "__stays")
+    stay = near_duplicates(documents).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(stay, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
 def op9_near_dup(spark, sf_dir: str) -> DataFrame:

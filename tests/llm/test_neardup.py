@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from gridloom.llm.neardup import SIMILAR, drop_near_duplicates, near_duplicates, op9_near_dup
+from gridloom.llm.neardup import SIMILAR, across, drop_near_duplicates, near_duplicates, op9_near_dup
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +70,38 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = near_duplicates(docs).collect()
     assert len(got) == 4 and {r.doc_id: r.class_id for r in got} == {None: None, 3: None, 4: 4}
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_prefix_filter_loses_no_pair(spark):
+    rng = random.Random(12)
+    texts = []
+    for size in (5, 9, 40, 200):
+        base = [rng.choice("abcdefghijklmnop") + rng.choice("xyz") for _ in range(size)]
+        texts += [" ".join(w if rng.random() > change else "new" + str(rng.random()) for w in base) for change in (0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.1) for _ in range(4)]
+    texts += ["spam " * n for n in (90, 100, 110, 125)]
+    sets = {k: multiset(t) for k, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    open_ = spark.createDataFrame([(k, sum(s.values()), k) for k, s in sets.items()], "rep long, n long, component long")
+    got = {(r.a, r.b) for r in across(open_, docs).collect()}
+    alike = lambda a, b: sum((a & b).values()) >= SIMILAR * sum((a | b).values())
+    want = {(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])}
+    assert want and want <= got and len(got) < len(texts) ** 2 / 4
+    # components that are known already aren't compared again
+    assert across(open_.withColumn("component", open_.n * 0), docs).count() == 0
+
+
+def test_many_documents_that_share_a_passage(spark):
+    rng, passage = random.Random(13), " ".join(f"w{k}" for k in range(40))
+    own = lambda k, n=15: " ".join(f"d{k}x{j}" for j in range(n))
+    texts = {k: f"{passage} {own(k)}" for k in range(8000)}
+    copies = {8000 + k: f"{passage} {own(k, 14)} other" for k in rng.sample(range(8000), 60)}
+    docs = spark.createDataFrame([*texts.items(), *copies.items()], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    assert got == {k: k for k in texts} | {k: k - 8000 for k in copies}
+
+
+def test_rows_that_repeat_a_doc_id_with_other_texts(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, "unlike " * 9), (1, " ".join(words)), (2, " ".join(words[:-1] + ["x"])), (7, " ".join(words[:-2] + ["y", "z"]))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 4 and {r.class_id for r in got} == {1}
