@@ -20,6 +20,7 @@ new columns ``ids`` or ``decoded`` must be free.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import cached_property
@@ -79,17 +80,20 @@ def default_model() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def model_bytes(path: str | None = None) -> bytes:
+    """A model file as the driver reads it; executors get its bytes (some hundred kilobytes) with their tasks and need no file."""
+    with open(path or default_model(), "rb") as f:
+        return f.read()
+
+
 class Pieces:
-    """The pieces of a model file, with the two directions."""
+    """The pieces of a model file (its bytes), with the two directions."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, blob: bytes):
         self.ids: dict[str, int] = {}
         self.scores: list[float] = []
         self.bytes_of: list[bytes] = []
         byte_ids = {}
-        with open(path, "rb") as f:
-            blob = f.read()
         for number, value in _fields(blob):
             if number != 1:
                 continue
@@ -250,13 +254,14 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 def encode(df: DataFrame, model: str | None = None, text: str = "text", and_decode: bool = False) -> DataFrame:
     """``df`` with ``ids`` array<int>; with ``and_decode`` also ``decoded``, what those ids decode to, in the same pass."""
     bound_batches(df.sparkSession)
-    path, schema, names = model or default_model(), _with(df, "ids", T.ArrayType(T.IntegerType())), df.columns
+    blob, schema, names = df.sparkSession.sparkContext.broadcast(model_bytes(model)), _with(df, "ids", T.ArrayType(T.IntegerType())), df.columns
+    mark = hashlib.sha256(blob.value).hexdigest()
     if and_decode:
         schema = T.StructType([*schema.fields, _with(df, "decoded", T.StringType()).fields[-1]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        memo = worker_state(f"pieces:{path}", lambda: Memo(Pieces(path)))
+        memo = worker_state(f"pieces:{mark}", lambda: Memo(Pieces(blob.value)))
         for batch in batches:
             made = [memo.encode(t or "") for t in batch.column(names.index(text)).to_pylist()]
             ends = np.cumsum([0, *(len(b) // 4 for b in made)]).astype("<i4")
@@ -271,11 +276,12 @@ def encode(df: DataFrame, model: str | None = None, text: str = "text", and_deco
 def decode(df: DataFrame, model: str | None = None, ids: str = "ids") -> DataFrame:
     """``df`` with ``decoded``, the text of its ids; null ids give the empty text."""
     bound_batches(df.sparkSession)
-    path, schema, names = model or default_model(), _with(df, "decoded", T.StringType()), df.columns
+    blob, schema, names = df.sparkSession.sparkContext.broadcast(model_bytes(model)), _with(df, "decoded", T.StringType()), df.columns
+    mark = hashlib.sha256(blob.value).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        pieces = worker_state(f"table:{path}", lambda: Pieces(path))
+        pieces = worker_state(f"table:{mark}", lambda: Pieces(blob.value))
         for batch in batches:
             column = batch.column(names.index(ids))
             flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(n or 0 for n in pc.list_value_length(column).to_pylist())])

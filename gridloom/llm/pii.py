@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SPACE, skew_join, table, text_of, written
+from gridloom.llm.common import SPACE, discard, skew_join, table, text_of, written
 
 KINDS = ("email", "ip", "card", "phone", "context")
 CONTEXT = KINDS.index("context")
@@ -209,7 +209,9 @@ def find_pii(documents: DataFrame) -> DataFrame:
     new = skew_join(seen.where(F.col("kind") == CONTEXT), accepted, "pattern").select("of", "start", "kind", "end").distinct()
     all_ = base_of(places).select("of", "start", "kind", "end").unionByName(new)
     of_text = all_.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))  # bounded by a text's tokens
-    joined = skew_join(kept.select("doc_id", "of"), written(of_text, "pii-texts"), "of", "left")
+    of_text = written(of_text, "pii-texts")
+    discard(places, seen)
+    joined = skew_join(kept.select("doc_id", "of"), of_text, "of", "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     return joined.select("doc_id", F.filter(spans, lambda s: s["kind"] != CONTEXT).alias("base"), spans.alias("spans"))
 

@@ -61,6 +61,17 @@ def test_line_index_is_reversible(spark, tmp_path):
     assert answers(back.resolve(frame(spark, some))) == brute_lines(some)
     counts = lambda i: sorted((bytes(r.digest), r.n_docs, r.max_doc) for r in i.counts.collect())
     assert counts(back) == counts(index)
+    packed = back.compact(f"{tmp_path}/packed")
+    assert counts(packed) == counts(index) and answers(packed.resolve(frame(spark, some))) == brute_lines(some)
+    # a change writes what it changes
+    one = back.insert(spark.createDataFrame([(900, line_cases()[0], "z")], "doc_id long, text string, shard string"))
+    lines = {key for key in linededup.keys_of(line_cases()[0].encode(), 20) if key}
+    for what in ("postings", "counts"):
+        assert spark.read.parquet(f"{tmp_path}/{what}/version={one.version}").count() == len(lines)
+    assert answers(back.resolve(frame(spark, some))) == brute_lines(some)
+    again = one.insert(frame(spark, {900: "other", 901: line_cases()[0]}))
+    with_both = some | {900: line_cases()[0], 901: line_cases()[0]}
+    assert answers(again.resolve(frame(spark, with_both))) == brute_lines(with_both)
 
 
 def test_rows_of_one_document_count_once(spark, tmp_path):
@@ -129,6 +140,26 @@ def test_sharding_sizes_slots_and_reruns(spark, n):
         assert sorted(slot for t, slot in got.values() if t == s) == list(range(sizes[s]))
 
 
+def test_rows_equal_many_times_over_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_ROWS", 100)
+    monkeypatch.setattr("gridloom.llm.common.HOT_ROWS", 100)
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("a").alias("__at"), F.lit("b").alias("__block"))
+    place = lambda: Counter((r.doc_id, r["__at"], r["__block"], r.shard, r.slot) for r in sharding.shuffle_to_shards(df, ["doc_id"]).collect())
+    got = place()
+    assert got == place() and sum(got.values()) == 3000 and max(got.values()) == 1
+    hot, sizes = Counter(s for d, _, _, s, _ in got if d == 7), Counter(s for _, _, _, s, _ in got)
+    assert set(sizes.values()) == {187, 188} and all(30 <= hot[s] <= 100 for s in range(16))
+    slots = sorted(slot for d, _, _, s, slot in got if d == 7 and s == 0)
+    assert slots[0] < 40 and slots[-1] > 140
+
+
+def test_sharding_query_against_brute_force(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = sharding.op5_sharding(spark, SF).collect()
+    assert {r.doc_id: (r.size, r.text_crc32, r.law, r.grown_shard) for r in got} == {k: (len(t) + 1, zlib.crc32(t), "rows", None) for k, t in texts.items()}
+    assert len(got) == len(texts) and sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(16) for k in range(len(texts) // 16 + (s < len(texts) % 16))]
+
+
 def test_communication_matrix_is_hypergeometric():
     rng, hits = random.Random(7), Counter()
     for k in range(4000):
@@ -155,7 +186,7 @@ def test_chat_round_trip(spark):
 
 
 def test_viterbi_streams_as_the_whole_search_does():
-    table, rng = pieces.Pieces(pieces.default_model()), random.Random(8)
+    table, rng = pieces.Pieces(pieces.model_bytes()), random.Random(8)
     memo = pieces.Memo(table)
 
     def whole(text):
@@ -212,12 +243,45 @@ def test_quality_covers_whole_texts_and_empty_ones(spark):
 
 def test_quality_learns_from_whole_texts(spark, monkeypatch):
     docs = spark.createDataFrame([(k, "good text " * 14_000 + ("" if k % 2 else "#@!$ " * 4000)) for k in range(12)], "doc_id long, text string")
-    texts, marks = quality.sample(docs, spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int"))
-    assert {m: {len(t) for t, n in zip(texts, marks) if n == m} for m in (0, 1)} == {0: {160_000}, 1: {140_000}}
-    whole = quality.fit(texts, marks, epochs=1)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    chunks, counts, marks = quality.sample(docs, labels, most=1000)
+    step = quality.CHUNK - quality.OVERLAP
+    assert set(zip(counts.tolist(), marks.tolist())) == {(-(-(160_000 - 64) // step), 0), (-(-(140_000 - 64) // step), 1)} and len(chunks) == counts.sum()
+    whole = quality.fit(chunks, counts, marks, epochs=1)
     monkeypatch.setattr(quality, "SLICE", 100)
-    sliced = quality.fit(texts, marks, epochs=1)
+    sliced = quality.fit(chunks, counts, marks, epochs=1)
     assert all(np.allclose(getattr(whole, k), getattr(sliced, k), atol=1e-4) for k in ("embed", "first", "second", "bias", "out"))
+    # what is drawn of a long text comes from all of it
+    few, counts, marks = quality.sample(docs, labels)
+    assert set(counts.tolist()) == {quality.TRAIN_CHUNKS}
+    junk = [b"#@!$" in c.tobytes() for c, n in zip(few, np.repeat(marks, counts)) if n == 0]
+    assert 0.05 < np.mean(junk) < 0.25  # an eighth of those texts
+
+
+def test_quality_score_is_the_network_by_hand(spark):
+    rng = random.Random(3)
+    texts = {k: "".join(rng.choice("abc é#@\n") for _ in range(n)) for k, n in enumerate([0, 1, 15, 16, 17, 447, 512, 513, 3000, 1, 90, 700])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in texts], "doc_id long, quality int")
+    net = quality.fit(*quality.sample(docs, labels))
+    half = quality.WIDTH // 2
+    filters = np.concatenate([net.first, net.second])
+
+    def brute(text):
+        data, tops, at = text.encode(), [], 0
+        while True:
+            chunk = data[at : at + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            best = np.full(quality.FILTERS, -np.inf)
+            for lo in range(0, quality.CHUNK - half, half):
+                best = np.maximum(best, np.concatenate([net.embed[b] for b in chunk[lo : lo + quality.WIDTH]]) @ filters)
+            tops.append(np.maximum(best + net.bias, 0))
+            at += quality.CHUNK - quality.OVERLAP
+            if at + quality.OVERLAP >= len(data):
+                break
+        return 1 / (1 + np.exp(-(np.mean(tops, 0) @ net.out + net.out_bias)))
+
+    for r in quality.score(docs, labels).collect():
+        assert abs(r.score - brute(texts[r.doc_id])) < 1e-4, r.doc_id
 
 
 def test_ann_recall_and_exact_scores(spark):
