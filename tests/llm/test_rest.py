@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from gridloom.llm import ann, chat, linededup, mixing, pieces, quality, sharding
 
 SF = "/root/testdata/sf0.001"
@@ -305,13 +304,3 @@ def test_ann_recall_and_exact_scores(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 3.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in ann.search(few, F.col("vec_id") == 0).collect()] == [(1, 0.0), (2, 1.0)]
     assert ann.search(few.limit(0), F.col("vec_id") == 0).count() == 0
-
-
-def test_pipeline_stages_on_their_own_inputs(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF)
-        if name != "pieces":
-            assert out.columns == docs.columns
-        assert stage(spark, docs.limit(0), SF).count() == 0, name
-    assert corpus_pipeline.run(spark, SF).count() > 100
