@@ -32,11 +32,11 @@ def spmv_dia(data: DataFrame, offsets: list[int], x: DataFrame, dim: int) -> Dat
 
 
 def spmv_dia2d(data: DataFrame, offsets: list[tuple[int, int]], v: DataFrame, height: int, width: int) -> DataFrame:
-    """Banded grid operator (k, y, x, v), its coefficient at the source cell: out[y - offy, x - offx] += coefficient * v[y, x]."""
+    """Banded grid operator (k, y, x, v), its coefficient at the source cell: out[y - offy, x - offx] += coefficient * v[y, x]. One operator serves all frames of ``v`` if it has no frames itself."""
     ox = F.element_at(F.array(*[F.lit(o[0]) for o in offsets]), F.col("k") + 1)
     oy = F.element_at(F.array(*[F.lit(o[1]) for o in offsets]), F.col("k") + 1)
     keys = [*frame(v), "y", "x"]
-    both = data.join(v.withColumnRenamed("v", "__v"), keys)
+    both = data.join(v.withColumnRenamed("v", "__v"), [*frame(data), "y", "x"])
     sent = both.select(*frame(v), (F.col("y") - oy).alias("y"), (F.col("x") - ox).alias("x"), (F.col("v") * F.col("__v")).alias("v"))
     sums = sent.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).groupBy(*keys).agg(F.sum("v").alias("v"))
     return _dense(sums, v, keys)

@@ -12,15 +12,20 @@ from gridloom.operators.elementwise import fuse, one
 from gridloom.operators.grid import black, frame, red, stencil
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; in a temporary one only where that is unset and all executors are this process."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all executors are this process."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         known = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not known and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(known or tempfile.mkdtemp(prefix="gridloom-"))
+        context.setCheckpointDir(known or "file://" + tempfile.mkdtemp(prefix="gridloom-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,9 @@ from gridloom.functions.ieee import OPS, apply, on_grid
 from gridloom.operators import elementwise as E
 from gridloom.operators import flow, grid, sparse, stap
 from gridloom.plans.fixtures import ALPHA, ASYMMETRIC, CELLS, DIA_OFFSETS, FIVE_POINT, LAMBDA, N_DOP, SIDE, STEERING, TDOF, Fixtures, with_fixtures
-from gridloom.plans.iterate import cg_step, iterate, red_black_sweep
+from gridloom.plans.iterate import cg_step, iterate, red_black_sweep, shared_folder
+from gridloom.sources.tensors import SpMat2D, Stencil, coo_from_packed_csr, dia_from_packed, image, load
+from gridloom.streaming.frames import each_frame, stream_of
 
 SIGN = dict(zip(OPS, "+-*/"))
 _QUERIES: dict = {}
@@ -227,7 +231,34 @@ def _recipes() -> None:
     _add("iterate_average", lambda f: iterate(average(f), f.img(0), 3, every=2), with_fixtures("img_a") + f", u0 AS (SELECT * FROM img_a), {thrice} SELECT f, y, x, {_q('v')} AS v FROM u3")
 
 
-for _part in (_elementwise, _reductions, _sparse, _grid, _flow, _stap, _recipes):
+def _sources() -> None:
+    """Sources and adapters, each followed by what reads it."""
+    row = lambda f: f.csr_lineitem().groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("e")).select("i", F.col("e.j").alias("indices"), F.col("e.v").alias("data"))
+    _add("csr_packed", lambda f: coo_from_packed_csr(row(f)), with_fixtures("csr_lineitem") + f"SELECT i, j, {_q('v')} AS v FROM csr_lineitem")
+
+    def packed_diagonals(f: Fixtures) -> DataFrame:
+        runs = f.dia_part().groupBy("k", F.expr("j div 100").alias("run")).agg(F.min("j").alias("begin"), F.sort_array(F.collect_list(F.struct("j", "v"))).alias("e"))
+        return dia_from_packed(runs.select("k", "begin", F.col("e.v").alias("data")))
+
+    _add("dia_packed", packed_diagonals, with_fixtures("dia_part") + f"SELECT k, j, {_q('v')} AS v FROM dia_part")
+    shape = Stencil(np.array([w for _, _, w in ASYMMETRIC]), np.array([x for x, _, _ in ASYMMETRIC]), np.array([y for _, y, _ in ASYMMETRIC]))
+    _add("stencil_object", lambda f: grid.stencil(f.img(1), shape.taps, SIDE, SIDE), with_fixtures("img_b") + f"SELECT f, y, x, {_q('v')} AS v FROM ({_stencil_sql(ASYMMETRIC, 'img_b')})")
+    k, y, x = np.indices((2, SIDE, SIDE))
+    band = SpMat2D((k + 1) * (y - x) / 64.0, np.array([0, 1]), np.array([0, 0]))
+    cells = f"SELECT k, y, x, (k + 1) * (y - x) / 64.0::DOUBLE AS v FROM range(0, 2) AS a(k), range(0, {SIDE}) AS b(y), range(0, {SIDE}) AS c(x)"
+    _add("spmat2d_object", lambda f: sparse.spmv_dia2d(band.frame(f.spark), band.offsets, f.img(0), SIDE, SIDE), with_fixtures("img_a") + f", m AS ({cells}) SELECT t.f, t.y, t.x, {_q('sum(m.v * s.v)')} AS v FROM img_a t JOIN m ON m.y = t.y AND m.x IN (t.x, t.x + 1) AND m.x = t.x + m.k JOIN img_a s ON s.f = t.f AND s.y = m.y AND s.x = m.x GROUP BY t.f, t.y, t.x")
+
+    def streamed(spark, d: str) -> DataFrame:
+        at = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+        plan = lambda rows: grid.red(image(rows, F.col("vec_id") % SIDE, F.col("embedding"), F.expr(f"vec_id div {SIDE}")))
+        each_frame(stream_of(spark, f"{d}/embeddings.parquet"), plan, f"{at}/out", f"{at}/state").awaitTermination()
+        return _rounded(load(spark, f"{at}/out").drop("frame"), "v")
+
+    _QUERIES["stream_red"] = streamed
+    _ORACLES["stream_red"] = f"SELECT (vec_id // {SIDE})::INT AS f, (vec_id % {SIDE})::INT AS y, x::INT AS x, {_q('(CASE WHEN (x + vec_id % 64) % 2 = 0 THEN v ELSE 0.0 END)')} AS v FROM (SELECT vec_id, unnest(range(0, 64)) AS x, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+
+
+for _part in (_elementwise, _reductions, _sparse, _grid, _flow, _stap, _recipes, _sources):
     _part()
 
 

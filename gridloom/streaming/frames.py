@@ -7,6 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 
+def stream_of(spark, path: str) -> DataFrame:
+    """The Parquet table at ``path``, a file or a folder of files, as a stream of rows."""
+    schema = spark.read.parquet(path).schema
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+
+
 def each_frame(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
     """Starts a query that writes ``plan(frame)`` below ``path``; a batch that is repeated overwrites its own folder."""
 
