@@ -6,9 +6,10 @@ time and are checked afterwards (ranges, Luhn, digit counts). The bootstrap work
 * seed mentions are the base spans, of any kind and shape, and identifier-like tokens that have
   the shape of a credential (many characters of letters and digits mixed, without a word in them);
 * the other mentions are identifier-like tokens that touch no base span: several digits, an @, an underscore
-  between letters, or many letters of mixed case;
+  between letters, or many characters with a digit, of mixed case or in capitals;
 * lexical patterns of a mention are the one to three words before it, or the one or two after it, with the
-  punctuation between; digits in them count as 0, letters in lower case, and a pattern holds a letter;
+  punctuation between (digits in them count as 0, letters in lower case, and a pattern holds a letter), and the four letters
+  that it begins with, as issuers of keys give their keys a common beginning;
 * a pattern's confidence is the summed score of what it introduces, over all mentions that it
   introduces (and one more, so that few occurrences are no proof);
 * an instance's score is 1 for seeds, else the chance that any of its accepted patterns is right.
@@ -40,7 +41,7 @@ MIN_CONFIDENCE = 0.7
 MIN_SUPPORT = 3
 MIN_SCORE = 0.5
 #: The least length of an identifier-like token, and of a credential.
-MIN_CHARS, CREDENTIAL_CHARS = 6, 20
+MIN_CHARS, CREDENTIAL_CHARS = 6, 16
 #: Characters of text on each side of a mention that its patterns are taken from.
 BEFORE, AFTER = 64, 48
 
@@ -52,15 +53,15 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 # Runs of fewer digits fail the test anyway; what is left of such a run has fewer still.
 CARD = r"(?:\G|(?<![0-9]))(?=[0-9](?:[\x20-]?[0-9]){11})[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Whole tokens: three digits, an @, an underscore between letters or digits, or sixteen characters with a capital after a small letter.
+#: Whole tokens: three digits, an @, an underscore between letters or digits, or sixteen characters with a digit, with a capital after a small letter, or of capitals.
 TOKEN = (
     rf"(?<![^{SPACE}])(?=[^{SPACE}]{{{MIN_CHARS}}})"
-    rf"(?:(?=(?:[^{SPACE}0-9]*+[0-9]){{3}})|(?=[^{SPACE}@]*+@)|(?=[^{SPACE}]*?[A-Za-z0-9]_[A-Za-z0-9])|(?=[^{SPACE}]{{16}})(?=[^{SPACE}a-z]*+[^{SPACE}A-Z]*+[A-Z]))[^{SPACE}]++"
+    rf"(?:(?=(?:[^{SPACE}0-9]*+[0-9]){{3}})|(?=[^{SPACE}@]*+@)|(?=[^{SPACE}]*?[A-Za-z0-9]_[A-Za-z0-9])|(?=[^{SPACE}]{{16}})(?:(?=[^{SPACE}0-9]*+[0-9])|(?=[^{SPACE}a-z]*+[^{SPACE}A-Z]*+[A-Z])|(?=[^{SPACE}]*?[A-Z]{{16}})))[^{SPACE}]++"
 )
 #: What of a token comes before its instance (up to the last = : quote or bracket, and further punctuation), and after it.
 LEAD, TRAIL = r"^(?:[^/@]*[=:\"'<>(\[{,;|])?[^A-Za-z0-9+@]*", r"^[^A-Za-z0-9]*+"  # TRAIL of the reversed token
 #: What an instance must still have.
-LIKE = r"^(?:(?:[^0-9]*+[0-9]){3}|[^@]*+@|(?s:.*?)[A-Za-z0-9]_[A-Za-z0-9]|[^a-z]*+[^A-Z]*+[A-Z])"
+LIKE = r"^(?:(?:[^0-9]*+[0-9]){3}|[^@]*+@|(?s:.*?)[A-Za-z0-9]_[A-Za-z0-9]|[^a-z]*+[^A-Z]*+[A-Z]|(?=.{16})(?:[^0-9]*+[0-9]|.*?[A-Z]{16}))"
 FOUND = "array<struct<kind:int,nr:int,gap:int,hit:string,head:string,tail:string>>"
 
 
@@ -91,7 +92,7 @@ FINDERS = (
     (IP, lambda text: text.rlike(r"[0-9]\.[0-9]"), lambda hit: F.forall(F.split(hit, r"\."), _part)),
     (CARD, lambda text: text.rlike(r"[0-9][\x20-]?[0-9]"), lambda hit: F.when(_between(F.length(_digits(hit)), 12, 19), luhn(_digits(hit))).otherwise(False)),
     (PHONE, lambda text: F.contains(text, F.lit("+")), lambda hit: _between(F.length(_digits(hit)), 9, 15)),
-    (TOKEN, lambda text: text.rlike("[0-9@_]|[a-z][A-Z]"), None),
+    (TOKEN, lambda text: text.rlike("[0-9@_]|[a-z][A-Z]|[A-Z]{16}"), None),
 )
 
 
@@ -137,12 +138,13 @@ def _plain(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(text, rf"[{SPACE}]+", " ")), "[0-9]+", "0")
 
 
-def patterns(before: Column, after: Column) -> Column:
-    """The lexical patterns around a mention, as text."""
+def patterns(before: Column, instance: Column, after: Column) -> Column:
+    """The lexical patterns of a mention, as text."""
     whole = F.when(F.length(before) > BEFORE, F.regexp_replace(before, rf"^[^{SPACE}]*", "")).otherwise(before)  # no half words
     left, right = _plain(whole), _plain(after)
     words = [F.concat(F.lit(f"<{k} "), F.regexp_extract(left, rf"(?:^| )((?:[^ ]+ ){{{k - 1}}}[^ ]+ ?)$", 1)) for k in (1, 2, 3)]
     words += [F.concat(F.lit(f">{k} "), F.regexp_extract(right, rf"^ ?([^ ]+(?: [^ ]+){{{k - 1}}})", 1)) for k in (1, 2)]
+    words.append(F.concat(F.lit("= "), F.regexp_extract(instance, r"^\p{L}{4}", 0)))
     return F.filter(F.array(*words), lambda w: w.rlike(r"\p{L}"))
 
 
@@ -177,7 +179,7 @@ def mentions(places: DataFrame) -> DataFrame:
     apart = (F.coalesce(F.col("reached"), F.lit(0)) <= F.col("start")) & (F.col("begins").isNull() | (F.col("begins") >= F.col("end")))
     free = both.withColumn("reached", reached).withColumn("begins", begins).where(is_base | apart)
     seed = is_base | is_credential(F.col("instance"))
-    return free.select("of", "kind", "start", "end", "instance", seed.alias("seed"), F.explode(patterns(F.col("before"), F.col("after"))).alias("pattern"))
+    return free.select("of", "kind", "start", "end", "instance", seed.alias("seed"), F.explode(patterns(F.col("before"), F.col("instance"), F.col("after"))).alias("pattern"))
 
 
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> list[DataFrame]:

@@ -97,6 +97,16 @@ def test_planted_identifiers_are_found_and_others_left_alone(spark):
     assert all(len(got[k]) == 1 for k in range(first)) and not any(got[k] for k in range(other, len(texts)))
 
 
+def test_keys_of_a_common_beginning_are_found_in_any_context(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    keys = ["ZQKV" + "".join(rng.choice("ABCDEFGH") + rng.choice("234567") for _ in range(8)) for _ in range(20)]
+    keys += ["ZQKVABCDEFGHABCDEFGH", "ZQKV2BCDEFGHABCDEFGH"]  # without digits, and with one
+    texts = [f"{word()} {word()} {k} {word()} {word()}." for k in keys] + ["THE WORDINCAPITALSONLYHERE STANDS", "zqkvett 4 of them"]
+    got = contexts(spark, texts)
+    assert [got[k] for k in range(len(texts))] == [[(12, 32)]] * len(keys) + [[], []]
+
+
 def test_a_text_of_many_matches_takes_seconds(spark):
     text = " ".join(f"id{k:06d} +1 ({k % 900 + 100}) 555-7713" if k % 5 == 0 else f"n{k:07d}" for k in range(100_000))
     begun = time.time()
